@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike, packing, quantiles, tokens
+from . import lookalike, neighbours, packing, quantiles, splitting, tokens
 
 VERDICT_KEY = (["run_id", "assertion_id", "evaluator"], "loaded_at")
 MEASURES = ["wall_ms", "micros"]
@@ -35,6 +35,28 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_form(table(spark, d, "block").select("block_id", "text"), "text").select("block_id", "canonical")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.mutual_pairs(table(spark, d, "vfull"), table(spark, d, "embed_space"), 0.90)
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar of every vector."""
+    return neighbours.neighbours(table(spark, d, "vfull"), table(spark, d, "embed_space"))
+
+
+def _split(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    return splitting.split_pending(*(table(spark, d, t) for t in ("vpending", "segment", "block", "embed_space")), with_text)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized(_split(spark, d, False))
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every pending segment, with its place and text."""
+    return _split(spark, d, True).select("model_key", "segment_digest", F.posexplode("pieces").alias("piece", "p")).select("model_key", "segment_digest", "piece", "p.*")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
@@ -67,6 +89,7 @@ def _look_sql(x: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    stretch = "[\\s.!?;:,。！？；：、।؟]"
     once = "SELECT DISTINCT run_id, assertion_id, evaluator, slice_key, wall_ms, micros FROM eval_verdict"
     return {
         "p1_found": f"""
@@ -82,4 +105,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT a.assertion_id, b.block_id FROM a JOIN doc d ON d.uri = a.doc
             JOIN block b ON b.doc_ord = d.doc_ord AND b.gen = d.gen AND b.page = a.page AND b.state = 0
             WHERE b.text <> a.q AND {_look_sql("b.text")} = {_look_sql("a.q")}""",
+        "p3_found": """
+            WITH u AS (SELECT f.model_key, f.segment_digest AS g, min(f.v) AS v FROM vfull f JOIN embed_space s ON s.model_key = f.model_key AND len(f.v) = s.dim
+                       WHERE len(list_filter(f.v, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(f.v, lambda x: x <> 0)) > 0 GROUP BY ALL),
+            c AS (SELECT a.model_key, a.g AS a, b.g AS b, list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS cos FROM u a JOIN u b ON a.model_key = b.model_key AND a.g <> b.g),
+            k AS (SELECT *, row_number() OVER (PARTITION BY model_key, a ORDER BY cos DESC, b) AS r FROM c WHERE cos >= 0.9)
+            SELECT x.model_key, x.a AS segment_digest_a, x.b AS segment_digest_b FROM k x JOIN k y ON x.model_key = y.model_key AND x.a = y.b AND x.b = y.a
+            WHERE x.a < x.b AND x.r <= 10 AND y.r <= 10""",
+        "p4_found": f"""
+            WITH m AS (SELECT content_digest, unnest(member_ids) AS block_id, generate_subscripts(member_ids, 1) AS i FROM segment),
+            b AS (SELECT DISTINCT block_id, coalesce(text, '') AS text FROM block),
+            t AS (SELECT content_digest, string_agg(text, chr(10) ORDER BY i) AS text FROM m JOIN b USING (block_id) GROUP BY content_digest),
+            p AS (SELECT DISTINCT model_key, segment_digest FROM vpending)
+            SELECT p.model_key, p.segment_digest,
+                   CAST(list_max(list_transform(regexp_split_to_array(t.text, '{stretch}'), lambda x: length(x))) > s.max_chars AS INTEGER) AS forced
+            FROM p JOIN embed_space s USING (model_key) JOIN t ON t.content_digest = p.segment_digest WHERE length(t.text) > s.max_chars""",
     }
