@@ -12,12 +12,12 @@ empty text and a text of nothing but invisible characters have the empty form; r
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 COLLATION = "UNICODE"
 
@@ -113,20 +113,10 @@ def look_key(mapped: Column) -> list[Column]:
     return [F.xxhash64(mapped).alias("k1"), F.xxhash64(F.lit(1), mapped).alias("k2")]
 
 
-def canonical_classes(mapped: DataFrame) -> DataFrame:
-    """(k1, k2, canonical) of distinct mapped values (one string column): k1, k2 hash the value, canonical is its class's least member."""
-    (column,) = mapped.columns
-    values = mapped.select(F.col(column).alias("m")).distinct().withColumns({"sk": skeleton_hash(F.col("m")), "class": F.collate("m", COLLATION)})
-    canon = values.groupBy("sk", "class").agg(F.min("m").alias("canonical"))
-    return values.join(canon, ["sk", "class"]).select(*look_key(F.col("m")), "canonical")
-
-
-def canonical_form(df: DataFrame, column: str, out: str = "canonical") -> DataFrame:
-    """df with one more column, the consistent form of `column`; its rows are kept, with their number."""
-    classes = canonical_classes(df.where(F.col(column).isNotNull()).select(by_look(F.col(column)).alias("m"))).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "canonical": "_form"})
-    keyed = df.withColumns(dict(zip(("_q1", "_q2"), look_key(by_look(F.col(column))))))
-    joined = keyed.join(classes, (F.col("_q1") == F.col("_k1")) & (F.col("_q2") == F.col("_k2")), "left")
-    return joined.withColumn(out, F.when(F.col(column).isNotNull(), F.col("_form"))).select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
+@cache
+def _python_table() -> dict[int, str]:
+    single, several = look_table()
+    return str.maketrans(single | {c: several[c] for c in SEVERAL})
 
 
 def composed(text: str) -> str:
@@ -134,36 +124,48 @@ def composed(text: str) -> str:
     return unicodedata.normalize("NFC", text.translate(_python_table()))
 
 
-@cache
-def _python_table() -> dict[int, str]:
-    single, several = look_table()
-    return str.maketrans(single | {c: several[c] for c in SEVERAL})
+@F.arrow_udf(StringType())
+def _checked(mapped: pa.Array, canonical: pa.Array) -> pa.Array:
+    """Exact check of members that the collation calls equal to a canonical form: it, or their own composed form if they are not."""
+    return pa.array([None if m is None else c if composed(m) == composed(c) else composed(m) for m, c in zip(mapped.to_pylist(), canonical.to_pylist())], type=pa.string())
+
 
+def canonical_classes(mapped: DataFrame) -> DataFrame:
+    """(k1, k2, canonical) of distinct mapped values (one string column): k1, k2 hash the value, canonical is its class's least member.
 
-def same_when_composed(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Exact check of pairs the collation calls equal: their texts are equal after mapping and canonical composition."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    i, j = pairs.columns.index(a), pairs.columns.index(b)
+    Copies are taken out before values are grouped; only members that differ from their canonical form go to the exact check.
+    """
+    (column,) = mapped.columns
+    values = mapped.select(F.col(column).alias("m")).distinct().withColumns({"sk": skeleton_hash(F.col("m")), "class": F.collate("m", COLLATION)})
+    least = values.withColumn("c", F.min("m").over(Window.partitionBy("sk", "class"))).select(*look_key(F.col("m")), "c", F.when(F.col("m") != F.col("c"), F.col("m")).alias("other"))
+    checked = _checked(F.col("other"), F.when(F.col("other").isNotNull(), F.col("c")))
+    return least.select("k1", "k2", F.coalesce(checked, "c").alias("canonical"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column(i).to_pylist(), batch.column(j).to_pylist()
-            yield batch.filter(pa.array([x == y or composed(x) == composed(y) for x, y in zip(left, right)], type=pa.bool_()))
 
-    return pairs.mapInArrow(run, kinds)
+def canonical_form(df: DataFrame, column: str, out: str = "canonical") -> DataFrame:
+    """df with one more column, the consistent form of `column`; its rows are kept, with their number."""
+    classes = canonical_classes(df.where(F.col(column).isNotNull()).select(by_look(F.col(column)).alias("m"))).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "canonical": "_form"})
+    keyed = df.withColumns(dict(zip(("_q1", "_q2"), look_key(by_look(F.col(column))))))
+    joined = keyed.join(classes, (F.col("_q1") == F.col("_k1")) & (F.col("_q2") == F.col("_k2")), "left")
+    return joined.withColumn(out, F.when(F.col(column).isNotNull(), F.col("_form"))).select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
 
 
 def quotation_twins(assertion: DataFrame, block: DataFrame, doc: DataFrame) -> DataFrame:
     """(assertion_id, block_id): quotations of type 'present' and live blocks on the quoted page that look the same and are not the same string.
 
-    Rows delivered twice count once; null texts, pages and documents have no twin.
+    Rows delivered twice count once; null texts, pages and documents have no twin. Texts are shuffled to find their classes only; rows
+    carry hashes.
     """
-    quoted = assertion.where("type = 'present'").select("assertion_id", "doc", "page", F.get_json_object("spec", "$.text").alias("a_text")).where("a_text IS NOT NULL")
+    quoted = assertion.where("type = 'present'").select("assertion_id", "doc", "page", F.get_json_object("spec", "$.text").alias("text")).where("text IS NOT NULL")
     live = block.where("state = 0 AND text IS NOT NULL").select("block_id", "doc_ord", F.col("gen").alias("head"), "page", "text")
-    mapped = quoted.select(by_look(F.col("a_text")).alias("m")).unionByName(live.select(by_look(F.col("text")).alias("m")))
+    mapped = quoted.select(by_look(F.col("text")).alias("m")).unionByName(live.select(by_look(F.col("text")).alias("m")))
     classes = canonical_classes(mapped).select("k1", "k2", F.xxhash64("canonical").alias("c1"), F.xxhash64(F.lit(1), "canonical").alias("c2"))
-    keyed = lambda df, text: df.withColumn("ks", F.get(F.transform(F.array(by_look(F.col(text))), lambda m: F.struct(*look_key(m))), 0)).select("*", "ks.k1", "ks.k2").drop("ks")
-    a = keyed(quoted, "a_text").join(doc.select("doc_ord", F.col("gen").alias("head"), F.col("uri").alias("doc")), "doc").join(classes, ["k1", "k2"]).drop("k1", "k2", "doc")
-    b = keyed(live, "text").join(classes, ["k1", "k2"]).drop("k1", "k2")
-    pairs = a.join(b, ["doc_ord", "head", "page", "c1", "c2"]).where("text <> a_text")
-    return same_when_composed(pairs.select("assertion_id", "block_id", "a_text", "text"), "a_text", "text").select("assertion_id", "block_id").distinct()
+
+    def keyed(df: DataFrame, own: str) -> DataFrame:
+        hashed = df.withColumn("ks", F.get(F.transform(F.array(by_look(F.col("text"))), lambda m: F.struct(*look_key(m))), 0))
+        return hashed.select("*", "ks.k1", "ks.k2", F.xxhash64("text").alias(own)).drop("ks", "text")
+
+    heads = doc.select("doc_ord", F.col("gen").alias("head"), F.col("uri").alias("doc"))
+    a = keyed(quoted, "t_a").join(heads, "doc").drop("doc").join(classes, ["k1", "k2"]).drop("k1", "k2")
+    b = keyed(live, "t_b").join(classes, ["k1", "k2"]).drop("k1", "k2")
+    return a.join(b, ["doc_ord", "head", "page", "c1", "c2"]).where("t_a <> t_b").select("assertion_id", "block_id").distinct()
