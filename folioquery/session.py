@@ -44,3 +44,16 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """The number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write df once as parquet into the shared checkpoint folder and read it back: a lineage cut that keeps column pruning."""
+    import uuid
+
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioquery-ckpt-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
