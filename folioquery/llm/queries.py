@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike, neighbours, packing, quantiles, splitting, tokens
+from . import lookalike, neighbours, ocr, packing, quantiles, splitting, tokens
 
 VERDICT_KEY = (["run_id", "assertion_id", "evaluator"], "loaded_at")
 MEASURES = ["wall_ms", "micros"]
@@ -57,6 +57,15 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d, True).select("model_key", "segment_digest", F.posexplode("pieces").alias("piece", "p")).select("model_key", "segment_digest", "piece", "p.*")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.noise(table(spark, d, "block"), table(spark, d, "doc"))
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned documents as repaired, continuous paragraphs."""
+    return ocr.paragraphs(table(spark, d, "block"), table(spark, d, "doc"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
