@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike, neighbours, ocr, packing, quantiles, splitting, tokens
+from . import lookalike, neighbours, ocr, packing, quantiles, sentences, splitting, tokens
 
 VERDICT_KEY = (["run_id", "assertion_id", "evaluator"], "loaded_at")
 MEASURES = ["wall_ms", "micros"]
@@ -78,6 +78,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "end_pos")
+
+
+def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every document with its place and text."""
+    return sentences.split_sentences(table(spark, d, "documents"), with_text=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
