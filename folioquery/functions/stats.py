@@ -7,6 +7,7 @@ from math import erfc, sqrt
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: The standard normal quantile at 0.975.
 Z95 = 1.959963984540054
@@ -57,9 +58,9 @@ def sign_flip_p(mean: float, squares: float) -> float:
     return 1.0 if squares <= 0 else erfc(abs(mean) / sqrt(squares) / sqrt(2))
 
 
-@F.udf("double")
-def _erfc(x: float) -> float:
-    return None if x is None else erfc(x)
+@F.arrow_udf(DoubleType())
+def _erfc(column: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else erfc(x) for x in column.to_pylist()], type=pa.float64())
 
 
 def sign_flip(df: DataFrame, key: str, difference: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = "block_head"
+FLAGSHIP = "fused_search"
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import reports  # noqa: F401
+    from . import derive, files, reports, search  # noqa: F401
 
     return dict(_QUERIES)
 

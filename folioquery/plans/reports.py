@@ -389,10 +389,11 @@ def release_check(spark, d):
 
 @query("paired_sign_flip")
 def paired_sign_flip(spark, d):
-    """Per slice, whether the two evaluators pass the same assertions of the same run alike."""
+    """Per slice, whether the two evaluators pass the same assertions at the same rate."""
     v = verdicts(spark, d)
-    both = v.groupBy("run_id", "assertion_id", "slice_key").agg(F.max(F.when(F.col("evaluator") == "text", F.col("passed"))).alias("a"), F.max(F.when(F.col("evaluator") == "owdoc", F.col("passed"))).alias("b"))
-    return stats.sign_flip(both.select("slice_key", (F.col("a") - F.col("b")).cast("double").alias("diff")), "slice_key", "diff")
+    of = lambda e: F.avg(F.when(F.col("evaluator") == e, F.col("passed")))
+    both = v.groupBy("assertion_id", "slice_key").agg(of("text").alias("a"), of("owdoc").alias("b"))
+    return stats.sign_flip(both.select("slice_key", (F.col("a") - F.col("b")).alias("diff")), "slice_key", "diff")
 
 
 @query("threshold_fit")
