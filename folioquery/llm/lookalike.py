@@ -143,11 +143,16 @@ def canonical_classes(mapped: DataFrame) -> DataFrame:
 
 
 def canonical_form(df: DataFrame, column: str, out: str = "canonical") -> DataFrame:
-    """df with one more column, the consistent form of `column`; its rows are kept, with their number."""
-    classes = canonical_classes(df.where(F.col(column).isNotNull()).select(by_look(F.col(column)).alias("m"))).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "canonical": "_form"})
-    keyed = df.withColumns(dict(zip(("_q1", "_q2"), look_key(by_look(F.col(column))))))
-    joined = keyed.join(classes, (F.col("_q1") == F.col("_k1")) & (F.col("_q2") == F.col("_k2")), "left")
-    return joined.withColumn(out, F.when(F.col(column).isNotNull(), F.col("_form"))).select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
+    """df with one more column, the consistent form of `column`; its rows are kept, with their number. A column named `out` is replaced."""
+    own = {n: n for n in ("_k1", "_k2", "_q1", "_q2", "_form")}
+    while set(own.values()) & set(df.columns):
+        own = {n: "_" + x for n, x in own.items()}
+    quoted = F.col(f"`{column}`")
+    classes = canonical_classes(df.where(quoted.isNotNull()).select(by_look(quoted).alias("m"))).withColumnsRenamed({"k1": own["_k1"], "k2": own["_k2"], "canonical": own["_form"]})
+    keyed = df.withColumns(dict(zip((own["_q1"], own["_q2"]), look_key(by_look(quoted)))))
+    joined = keyed.join(classes, (F.col(own["_q1"]) == F.col(own["_k1"])) & (F.col(own["_q2"]) == F.col(own["_k2"])), "left")
+    form = F.when(quoted.isNotNull(), F.col(own["_form"]))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], form.alias(out))
 
 
 def quotation_twins(assertion: DataFrame, block: DataFrame, doc: DataFrame) -> DataFrame:

@@ -159,14 +159,14 @@ def sketches(df: DataFrame, keys: Sequence[str], measures: Sequence[str], k: int
     merge MERGE_AT_ONCE at a time, level by level. distinct_on = (key columns, order column) counts each key once.
     """
     n_keys, kinds = len(keys), {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["measure string", "n bigint", "err bigint", "sketch binary", "part int"])
+    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["measure string", "n bigint", "err bigint", "sketch binary", "_part int"])
     if distinct_on:
         rows, skip = once(df, *distinct_on, [*keys, *measures]), 3
     else:
         rows, skip = df.select(*keys, *measures), 0
 
     def emit(state: dict[tuple, Sketch], types: list[pa.DataType], part: int) -> Iterator[pa.RecordBatch]:
-        names = [*keys, "measure", "n", "err", "sketch", "part"]
+        names = [*keys, "measure", "n", "err", "sketch", "_part"]
         items = list(state.items())
         for i in range(0, len(items), 64):
             own = items[i : i + 64]
@@ -214,7 +214,7 @@ def sketches(df: DataFrame, keys: Sequence[str], measures: Sequence[str], k: int
             types = [batch.schema.field(i).type for i in range(n_keys)]
             for row in batch.to_pylist():
                 own = Sketch.unpack(row["sketch"])
-                last = (*(row[c] for c in keys), row["measure"], row["part"])
+                last = (*(row[c] for c in keys), row["measure"], row["_part"])
                 if out is None:
                     out = own
                 else:
@@ -226,8 +226,8 @@ def sketches(df: DataFrame, keys: Sequence[str], measures: Sequence[str], k: int
     width = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1 if distinct_on else df.rdd.getNumPartitions())
     # The partition numbers of a group shrink by MERGE_AT_ONCE a level until one sketch is left.
     for _ in range(max(1, math.ceil(math.log(max(2, width), MERGE_AT_ONCE)))):
-        out = out.groupBy(*keys, "measure", (F.floor(F.col("part") / MERGE_AT_ONCE)).alias("salt")).applyInArrow(join, ddl)
-    return out.drop("part")
+        out = out.groupBy(*keys, "measure", (F.floor(F.col("_part") / MERGE_AT_ONCE)).alias("_salt")).applyInArrow(join, ddl)
+    return out.drop("_part")
 
 
 def percentiles(sketched: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> DataFrame:
@@ -270,16 +270,18 @@ def exact_percentiles(df: DataFrame, group: str, measures: Sequence[str], bracke
     key, order = distinct_on
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     clean = once(df, key, order, [group, *measures]).mapInArrow(lambda b: (x.select(range(3, x.num_columns)) for x in first_of_runs(b)), ", ".join(f"`{c}` {kinds[c]}" for c in [group, *measures]))
-    long = clean.select(group, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("bigint").alias("value")) for m in measures])).alias("x")).select(group, "x.*").where("value IS NOT NULL")
-    b = brackets.select(F.col(group).alias("g"), F.col("measure").alias("m"), "n", F.posexplode(F.arrays_zip("low", "high")).alias("at", "b")).select("g", "m", "n", "at", "b.*")
-    hit = long.join(F.broadcast(b) if few else b, F.col(group).eqNullSafe(F.col("g")) & (F.col("measure") == F.col("m")) & (F.col("value") <= F.col("high")))
-    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
-    counts = hit.groupBy(group, "measure", "at", "n", inside.alias("value")).agg(F.count("*").alias("c"))
-    running = counts.withColumn("upto", F.expr(f"sum(c) OVER (PARTITION BY `{group}`, measure, at ORDER BY value ASC NULLS FIRST)"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("_measure"), F.col(f"`{m}`").cast("bigint").alias("_value")) for m in measures]))
+    long = clean.select(F.col(f"`{group}`").alias("_group"), pairs.alias("_x")).select("_group", "_x.*").where("_value IS NOT NULL")
+    b = brackets.select(F.col(f"`{group}`").alias("_g"), F.col("measure").alias("_m"), F.col("n").alias("_n"), F.posexplode(F.arrays_zip("low", "high")).alias("_at", "_b")).select("_g", "_m", "_n", "_at", "_b.*")
+    hit = long.join(F.broadcast(b) if few else b, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_measure") == F.col("_m")) & (F.col("_value") <= F.col("high")))
+    inside = F.when(F.col("_value") >= F.col("low"), F.col("_value"))
+    counts = hit.groupBy("_group", "_measure", "_at", "_n", inside.alias("_inside")).agg(F.count("*").alias("_c"))
+    running = counts.withColumn("_upto", F.expr("sum(_c) OVER (PARTITION BY _group, _measure, _at ORDER BY _inside ASC NULLS FIRST)"))
     q = F.array(*[F.lit(round(x * 1_000_000)) for x in qs])
-    reached = running.where(F.col("value").isNotNull() & (F.col("upto") * 1_000_000 >= F.col("n") * F.get(q, F.col("at"))))
-    best = reached.groupBy(group, "measure", "at").agg(F.min("value").alias("value"))
-    return best.groupBy(group, "measure").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("exact"))
+    reached = running.where(F.col("_inside").isNotNull() & (F.col("_upto") * 1_000_000 >= F.col("_n") * F.get(q, F.col("_at"))))
+    best = reached.groupBy("_group", "_measure", "_at").agg(F.min("_inside").alias("_inside"))
+    exact = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_inside"))), lambda x: x["_inside"])
+    return best.groupBy("_group", "_measure").agg(exact.alias("exact")).select(F.col("_group").alias(group), F.col("_measure").alias("measure"), "exact")
 
 
 def heavy_tails(df: DataFrame, group: str, measures: Sequence[str], distinct_on: tuple[Sequence[str], str], q: float = 0.95, times: int = 20, k: int = K) -> DataFrame:
