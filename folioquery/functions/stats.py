@@ -15,7 +15,7 @@ Z95 = 1.959963984540054
 
 def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """The Wilson score interval of k successes in n trials, clipped to [0, 1]; null without trials."""
-    p, size = k / n, n.cast("double")
+    p, size = F.try_divide(k, n), n.cast("double")
     centre, spread = p + z * z / (2 * size), z * F.sqrt(p * (1 - p) / size + z * z / (4 * size * size))
     scale = 1 + z * z / size
     bound = lambda x: F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))

@@ -5,12 +5,15 @@ Queries come as a frame (query_id, text), so that any number of them runs in one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import similarity, text
+from ..functions import text
 
 #: The constant of rank fusion and the weights of the channels.
 RANK_K = 60
@@ -20,17 +23,27 @@ K1, B = 1.2, 0.75
 HEAD_WEIGHT, HEAD_DECAY = 6.0, 0.6
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, length): an inverted index; one shuffle on (id, term) with partial counts before it."""
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct terms of each query."""
+    return queries.select("query_id", F.explode(F.array_distinct(text.terms(F.col("text")))).alias("term"))
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, length): an inverted index; one shuffle on (id, term) with partial counts before it.
+
+    With `only` (a frame with a column term) occurrences of other terms are dropped before anything is shuffled.
+    """
     # The length is a column of its own before the explosion: after it, it would be computed for every word.
     split = docs.where(F.col(text_col).isNotNull()).select(id_col, text.terms(F.col(text_col)).alias("words"))
     exploded = split.withColumn("length", F.size("words").cast("bigint")).select(id_col, "length", F.explode("words").alias("term"))
+    if only is not None:
+        exploded = exploded.join(only.select("term").distinct(), "term", "left_semi")
     return exploded.groupBy(id_col, "term", "length").agg(F.count("*").alias("tf"))
 
 
 def bm25(index: DataFrame, id_col: str, queries: DataFrame, n_docs: int, mean_length: float) -> DataFrame:
     """(query_id, id, score). Document frequencies come from the index rows the queries touch; a hot term is only a longer join run."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct(text.terms(F.col("text")))).alias("term"))
+    wanted = query_terms(queries)
     touched = index.join(wanted.select("term").distinct(), "term", "left_semi")
     df = touched.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -66,17 +79,61 @@ def ceiling(statuses: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFra
     return statuses.groupBy("query_id").agg(F.sum(F.when(looked, weight / (RANK_K + 1))).alias("ceiling"))
 
 
-def semantic(vectors: DataFrame, queries: DataFrame, prefilter: int | None = None) -> DataFrame:
-    """(query_id, block_id, score) by cosine: vectors (block_id, v), queries (query_id, q), a stated query set that is broadcast by its size only.
+BLOCK_ROWS, QUERY_ROWS = 4096, 1024
+
+
+def _blocks(df: DataFrame, id_col: str, vector_col: str, rows: int, prefix: str) -> DataFrame:
+    """Unit vectors packed into matrices of at most `rows` rows: (ids ARRAY<BIGINT>, m BINARY, dim). Null, zero and infinite vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
 
-    prefilter keeps the nearest so many by signature before the exact score (the feature of a two-stage search).
+        def out(dim: int, ids: list, vectors: list) -> pa.RecordBatch:
+            x = np.asarray(vectors, dtype=np.float64)
+            norm = np.linalg.norm(x, axis=1)
+            good = np.isfinite(norm) & (norm > 0)
+            x = x[good] / norm[good, None]
+            return pa.RecordBatch.from_arrays([pa.array([[i for i, g in zip(ids, good) if g]], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=[f"{prefix}_ids", f"{prefix}_m", f"{prefix}_dim"])
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if i is None or not v or None in v:
+                    continue
+                ids, vectors = held.setdefault(len(v), ([], []))
+                ids.append(i)
+                vectors.append(v)
+                if len(ids) == rows:
+                    yield out(len(v), *held.pop(len(v)))
+        for dim, (ids, vectors) in held.items():
+            yield out(dim, ids, vectors)
+
+    return df.select(F.col(id_col).cast("bigint"), vector_col).mapInArrow(run, f"{prefix}_ids array<bigint>, {prefix}_m binary, {prefix}_dim int")
+
+
+def semantic(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """(query_id, block_id, score): the `top` nearest rows by cosine of each query of a stated set, itself left out.
+
+    vectors (block_id, v), queries (query_id, q). Both sides are packed into matrices and met block by block; a meeting hands on its best
+    `top` for each query only, ties by block_id.
     """
-    pairs = vectors.crossJoin(F.broadcast(queries)) if queries.limit(1001).count() <= 1000 else vectors.crossJoin(queries)
-    if prefilter is not None:
-        near = pairs.withColumn("far", similarity.hamming(similarity.signature(F.col("v")), similarity.signature(F.col("q"))))
-        order = Window.partitionBy("query_id").orderBy("far", "block_id")
-        pairs = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= prefilter)
-    return pairs.select("query_id", "block_id", similarity.cosine(F.col("v"), F.col("q")).alias("score")).where("score IS NOT NULL")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, qids = np.array(r["v_ids"], dtype=np.int64), np.array(r["q_ids"], dtype=np.int64)
+                if not len(ids) or not len(qids) or r["v_dim"] != r["q_dim"]:
+                    continue
+                s = np.frombuffer(r["q_m"]).reshape(len(qids), -1) @ np.frombuffer(r["v_m"]).reshape(len(ids), -1).T
+                s = np.round(s, 9)
+                s[qids[:, None] == ids[None, :]] = -2
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :top]
+                best = np.take_along_axis(s, order, 1)
+                q, b, c = np.repeat(qids, order.shape[1]), ids[order].ravel(), best.ravel()
+                keep = c > -2
+                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(b[keep]), pa.array(c[keep])], names=["query_id", "block_id", "score"])
+
+    met = _blocks(vectors, "block_id", "v", BLOCK_ROWS, "v").crossJoin(_blocks(queries, "query_id", "q", QUERY_ROWS, "q"))
+    return ranked(met.mapInArrow(meet, "query_id bigint, block_id bigint, score double"), top).select("query_id", "block_id", "score", "rank")
 
 
 #: The gates in their order.

@@ -61,7 +61,7 @@ def questions(spark: SparkSession) -> DataFrame:
 
 def lexical(spark: SparkSession, d: str) -> DataFrame:
     blocks = head(spark, d).where("text IS NOT NULL").select("block_id", "text")
-    index = retrieval.postings(blocks, "block_id", "text")
+    index = retrieval.postings(blocks, "block_id", "text", retrieval.query_terms(questions(spark)))
     size = blocks.select(F.size(text.terms(F.col("text"))).alias("n")).where("n > 0").agg(F.count("*"), F.avg("n")).first()
     return retrieval.bm25(index, "block_id", questions(spark), size[0], size[1] or 1.0)
 
@@ -130,8 +130,7 @@ def semantic_neighbours(spark, d):
     """Exact search: every twentieth vector against all."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("block_id"), F.col("embedding").alias("v"))
     q = v.where("block_id % 20 = 0").select(F.col("block_id").alias("query_id"), F.col("v").alias("q"))
-    scored = retrieval.semantic(v, q).where("query_id <> block_id").withColumn("score", F.round("score", 9))
-    return retrieval.ranked(scored, 10).select("query_id", "block_id")
+    return retrieval.semantic(v, q, 10).select("query_id", "block_id")
 
 
 @query(

@@ -29,8 +29,8 @@ def write_log(events: DataFrame, path: str) -> None:
 def read_log(spark: SparkSession, path: str, schema: str | StructType = EVENT) -> tuple[DataFrame, DataFrame]:
     """(events, torn): the lines of an NDJSON log; lines that do not parse are set aside."""
     fields = schema if isinstance(schema, str) else ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    rows = spark.read.schema(fields + ", _corrupt_record string").json(path)
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record"), rows.where("_corrupt_record IS NOT NULL").select("_corrupt_record")
+    lines = spark.read.text(path).select(F.from_json("value", fields + ", _corrupt_record string").alias("e"))
+    return lines.where("e._corrupt_record IS NULL").select("e.*").drop("_corrupt_record"), lines.where("e._corrupt_record IS NOT NULL").select("e._corrupt_record")
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
