@@ -129,3 +129,20 @@ def test_event_log_sets_torn_lines_aside(spark, tmp_path):
 def test_cut_and_store(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     assert cut(df).count() == 10 and store(df).select("x").agg(F.sum("x")).first()[0] == 90
+
+
+def test_gazetteer_takes_the_leftmost_longest(spark):
+    blocks = spark.createDataFrame([(1, "Brenlow Ltd. of Eastmere met Brenlow; nobody met Ltd of."), (2, None), (3, "")], "block_id bigint, text string")
+    names = spark.createDataFrame([("Brenlow",), ("Brenlow Ltd",), ("Ltd of Eastmere",), ("Eastmere",), ("nobody",)], "name string")
+    from folioquery.operators import gazetteer
+
+    got = [(r["at"], r.name) for r in gazetteer.find_names(blocks, names).orderBy("at").collect()]
+    assert got == [(0, "Brenlow Ltd"), (3, "Eastmere"), (5, "Brenlow"), (6, "nobody")]
+
+
+def test_grid_slots(spark):
+    from folioquery.operators import tables
+
+    cells = spark.createDataFrame([(1, "a", 0, 0, 1, 2), (1, "b", 1, 0, 2, 1), (1, "c", 1, 1, None, 0), (1, "x", 0, 1, 1, 1)], "table_id int, cell_id string, r int, c int, row_span int, col_span int")
+    got = {(r["r"], r["c"]): r.cell_id for r in tables.slots(cells).collect()}
+    assert got == {(0, 0): "a", (0, 1): "a", (1, 0): "b", (2, 0): "b", (1, 1): "c"}
