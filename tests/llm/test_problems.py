@@ -192,7 +192,7 @@ def test_confusions_keep_the_skeleton():
     assert ocr.confusions_between("word", "ward") is None and ocr.confusions_between("same", "same") == 0
 
 
-@pytest.mark.parametrize(("line", "page", "want"), [("ii", 1, (True, True, False)), ("- 2 -", 1, (True, True, False)), ("Page l of 9", 0, (True, True, True)), ("Title | iv", 3, (False, True, False)), ("[3]", 5, (False, False, False)), ("OPEN QUESTIONS", 2, (False, False, False))])
+@pytest.mark.parametrize(("line", "page", "want"), [("ii", 1, (True, True, False)), ("- 2 -", 1, (True, True, False)), ("Page l of 9", 0, (True, True, True)), ("Page 9 of l0", 8, (True, True, True)), ("9 / 10", 8, (True, True, False)), ("Title | iv", 3, (False, True, False)), ("[3]", 5, (False, False, False)), ("OPEN QUESTIONS", 2, (False, False, False))])
 def test_line_info(line, page, want):
     assert ocr.line_info(line, page)[:3] == want
 
