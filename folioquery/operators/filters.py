@@ -16,7 +16,8 @@ def block_head(block: DataFrame, doc: DataFrame) -> DataFrame:
     heads = doc.select("doc_ord", "gen")
     live = block.where("state = 0").join(heads, ["doc_ord", "gen"])
     # One aggregate a column: those that a query does not read are pruned down to the scan.
-    return live.groupBy("block_id").agg(*[F.max_by(c, "written_at").alias(c) for c in block.columns if c != "block_id"])
+    written = F.coalesce("written_at", F.lit("1970-01-01").cast("timestamp"))
+    return live.groupBy("block_id").agg(*[F.max_by(c, written).alias(c) for c in block.columns if c != "block_id"])
 
 
 @dataclass(frozen=True)
