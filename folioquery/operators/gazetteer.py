@@ -20,10 +20,10 @@ def find_names(blocks: DataFrame, names: DataFrame, longest: int = 4) -> DataFra
     lexicon = names.select("name", key(F.col("name")).alias("k"), F.size(text.terms(F.col("name"))).alias("words")).where(F.col("words").between(1, longest)).dropDuplicates(["k"])
     words = blocks.where(F.col("text").isNotNull()).select("block_id", text.terms(F.col("text")).alias("w")).where(F.size("w") > 0)
 
-    # The n-grams are cut inside one expression, so that a text's words are not copied for each of them.
+    # The n-grams are put together inside one expression by index: a slice would read the whole text's words for each of them.
     def of(size: int):
         starts = F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.array_join(F.slice("w", i + 1, F.lit(size)), " ").alias("k")))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.concat_ws(" ", *[F.get("w", i + j) for j in range(size)]).alias("k")))
 
     candidates = words.select("block_id", F.explode(F.concat(*[of(n) for n in range(1, longest + 1)])).alias("g")).select("block_id", "g.*")
     hits = candidates.join(lexicon, "k").select("block_id", "at", "size", "name")

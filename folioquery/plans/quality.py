@@ -95,12 +95,12 @@ def cache_verdict(spark, d):
 
 @query(
     "equal_mass_bins",
-    f"""WITH v AS (SELECT score, count(*) AS n, sum(passed) AS k FROM ({_VERDICT}) WHERE score IS NOT NULL GROUP BY score), c AS (SELECT *, sum(n) OVER (ORDER BY score) - n AS before, sum(n) OVER () AS total FROM v)
+    f"""WITH v AS (SELECT round(score, 3) AS score, count(*) AS n, sum(passed) AS k FROM ({_VERDICT}) WHERE score IS NOT NULL GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY score) - n AS before, sum(n) OVER () AS total FROM v)
         SELECT CAST(floor(before * 10 / total) AS INTEGER) AS bin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k, min(score) AS low, max(score) AS high FROM c GROUP BY 1""",
 )
 def equal_mass_bins(spark, d):
-    """Ten bins of nearly equal size that never part equal scores: cut over distinct scores, of which there are few after grouping."""
-    v = verdicts(spark, d).where("score IS NOT NULL").groupBy("score").agg(F.count("*").alias("n"), F.sum("passed").alias("k"))
+    """Ten bins of nearly equal size that never part equal scores: cut over scores of three decimals, of which there are at most 1,001."""
+    v = verdicts(spark, d).where("score IS NOT NULL").groupBy(F.round("score", 3).alias("score")).agg(F.count("*").alias("n"), F.sum("passed").alias("k"))
     whole = v.agg(F.sum("n").alias("total"))
     order = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     c = v.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).crossJoin(whole)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import similarity, text
+from ..functions import text
 from ..operators import retrieval
 from ..operators.filters import Filters
 from ..session import table
@@ -135,14 +135,16 @@ def semantic_neighbours(spark, d):
 
 @query(
     "signature_search",
-    """WITH v AS (SELECT vec_id AS id, embedding AS v FROM embeddings), s AS (SELECT id, list_transform(v[1:64], lambda x: CAST(x > 0 AS INTEGER)) AS b FROM v)
-       SELECT q.id AS query_id, s.id AS block_id, CAST(list_sum(list_transform(list_zip(q.b, s.b), lambda p: CAST(p[1] <> p[2] AS INTEGER))) AS BIGINT) AS far FROM s q, s WHERE q.id % 200 = 0""",
+    """WITH s AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x > 0 AS INTEGER)) AS b FROM embeddings),
+       c AS (SELECT q.id AS query_id, s.id AS block_id, list_sum(list_transform(list_zip(q.b, s.b), lambda p: CAST(p[1] <> p[2] AS INTEGER))) AS far FROM s q, s WHERE q.id % 20 = 0 AND q.id <> s.id)
+       SELECT query_id, block_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, block_id) AS r FROM c) WHERE r <= 10""",
 )
 def signature_search(spark, d):
-    """Hamming distances of sign signatures: every two-hundredth vector against all."""
-    s = table(spark, d, "embeddings").select(F.col("vec_id").alias("block_id"), similarity.signature(F.col("embedding")).alias("s"))
-    q = s.where("block_id % 200 = 0").select(F.col("block_id").alias("query_id"), F.col("s").alias("q"))
-    return s.crossJoin(q).select("query_id", "block_id", similarity.hamming(F.col("q"), F.col("s")).cast("bigint").alias("far"))
+    """The nearest by Hamming distance of sign signatures: every twentieth vector against all, as cosines of vectors of signs."""
+    signs = F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(-1.0))
+    s = table(spark, d, "embeddings").select(F.col("vec_id").alias("block_id"), signs.alias("v"))
+    q = s.where("block_id % 20 = 0").select(F.col("block_id").alias("query_id"), F.col("v").alias("q"))
+    return retrieval.semantic(s, q, 10).select("query_id", "block_id")
 
 
 @query("packed_hits", f"WITH {_BM25}, r AS (SELECT query_id, block_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, block_id) AS rank FROM b) SELECT query_id, block_id FROM (SELECT r.query_id, r.block_id, sum(length(h.text)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS c FROM r JOIN h USING (block_id) WHERE rank <= 50) WHERE c <= 4000")

@@ -146,3 +146,9 @@ def test_grid_slots(spark):
     cells = spark.createDataFrame([(1, "a", 0, 0, 1, 2), (1, "b", 1, 0, 2, 1), (1, "c", 1, 1, None, 0), (1, "x", 0, 1, 1, 1)], "table_id int, cell_id string, r int, c int, row_span int, col_span int")
     got = {(r["r"], r["c"]): r.cell_id for r in tables.slots(cells).collect()}
     assert got == {(0, 0): "a", (0, 1): "a", (1, 0): "b", (2, 0): "b", (1, 1): "c"}
+
+
+def test_signatures(spark):
+    df = spark.createDataFrame([([1.0, -2.0, 0.5], [1.0, 2.0, -0.5])], "a array<double>, b array<double>")
+    row = df.select(similarity.hamming(similarity.signature(F.col("a")), similarity.signature(F.col("b"))).alias("h"), similarity.cosine(F.col("a"), F.col("b")).alias("c")).first()
+    assert row.h == 2 and math.isclose(row.c, (1 - 4 - 0.25) / 5.25)
