@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,24 @@ def local_session(cores: str = "8", app: str = "folioquery", memory: str = "8g")
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors once per application, so that their Python workers need no path of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_folioquery_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    if here.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="folioquery-code-")) / f"{here.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f.relative_to(here.parent))
+        sc.addPyFile(str(archive))
+    sc._folioquery_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
