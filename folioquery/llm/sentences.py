@@ -26,11 +26,11 @@ from .tokens import texts_of
 #: A name or a word always follows.
 TITLES = set("dr prof mr mrs ms mx insp sr sra dra srta st hr fr mme mlle me gen col capt lt rev hon ing lic fig nº проф д-р г-н г-жа акад ул им κ κα δρ καθ डॉ श्री د".split())
 #: The sentence goes on.
-INNER = set("e.g i.e cf vs viz approx n.b z.b z u.a d.h d p.ex p.ej ex ej bzw vgl ca bspw sog evtl ggf inkl env aprox c.-à-d см ср т.е напр π.χ π βλ δηλ пр".split())
+INNER = set("e.g i.e cf vs viz approx n.b z.b z u.a d.h d p.ex p.ej ex ej bzw vgl ca bspw sog evtl ggf inkl env aprox c.-à-d см ср т.е напр π.χ π βλ δηλ".split())
 #: A number follows.
 NUMBERED = set("no nos nr núm nums pág págs p pp s art arts sec secs fig figs eq vol vols ch chap para paras abs abb bd kap ziff tab anm n стр рис гл т п ст табл σελ αρ εικ κεφ ص ج पृ सं".split())
 #: May end a sentence: the next word tells.
-EITHER = set("etc ltd inc co corp jr sr. a.m p.m am pm usw u.s.w al д др κ.λπ κλπ κ.ά вв гг руб".split())
+EITHER = set("etc ltd inc co corp jr sr. a.m p.m am pm usw u.s.w al д п пр др κ.λπ κλπ κ.ά вв гг руб".split())
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember".split())
 BEFORE_ORDINAL = set("am im vom zum beim bis ab seit der die das dem den des ein eine einem einen einer und".split())
 REPORTED = r"(?:asked|demanded|inquired|wondered|cried|exclaimed|shouted|said)"
@@ -148,7 +148,7 @@ def node_costs(body: str, m: re.Match, start: int) -> tuple[float, float] | None
     if word in INNER or word in TITLES and word != "fig":
         return _NEVER, 0.0
     if word in EITHER:
-        if word == "д" and not re.search(r"т\.?\s*$", body[max(0, m.start() - 5) : m.start() - 1]):
+        if word in ("д", "п") and not re.search(r"т\.?\s*$", body[max(0, m.start() - 5) : m.start() - 1]):
             return _NEVER, 0.0
         return (_NEVER, 0.0) if lower else (0.0, _SOFT)
     if word in NUMBERED:

@@ -297,6 +297,7 @@ CASES = [
     ("Am 2. März fehlt das 8. Kapitel. Vgl. Abb. 3 auf S. 3. Ohne es, z. B. Nr. 4, geht es.", ["Am 2. März fehlt das 8. Kapitel.", "Vgl. Abb. 3 auf S. 3.", "Ohne es, z. B. Nr. 4, geht es."]),
     ("M. Ourelle a noté\xa0: « La note reste. » Quelle surprise\xa0! Voir p. 3, art. 7. Fin.", ["M. Ourelle a noté\xa0: « La note reste. »", "Quelle surprise\xa0!", "Voir p. 3, art. 7.", "Fin."]),
     ("Есть таблицы и т. д. Сегмент там. См. рис. 3 на стр. 6. Всё.", ["Есть таблицы и т. д.", "Сегмент там.", "См. рис. 3 на стр. 6.", "Всё."]),
+    ("Есть сноски и т. п. Архив там, т. е. здесь. П. Ельмар пишет.", ["Есть сноски и т. п.", "Архив там, т. е. здесь.", "П. Ельмар пишет."]),
     ("Ισχύει ακόμη ο πίνακας; Βλ. σελ. 53. Τέλος.", ["Ισχύει ακόμη ο πίνακας;", "Βλ. σελ. 53.", "Τέλος."]),
     ("「何も失われていない。」と記録係は書いた。図49（11頁。）を見よ。すぐに止めよ！", ["「何も失われていない。」と記録係は書いた。", "図49（11頁。）を見よ。", "すぐに止めよ！"]),
     ("“没有问题？”审核人问道。审核人写道：“没有遗漏。”目录更新了引用。", ["“没有问题？”审核人问道。", "审核人写道：“没有遗漏。”", "目录更新了引用。"]),
