@@ -131,4 +131,5 @@ def minhash(shingle_set: Column, permutations: int) -> Column:
 def band_keys(signature_: Column, bands: int, rows: int) -> Column:
     """(band, bucket) structs of a MinHash signature."""
     cuts = F.sequence(F.lit(0), F.lit(bands - 1))
-    return F.transform(cuts, lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice(signature_, b * rows + 1, F.lit(rows))).alias("bucket")))
+    # The signature is bound once by the outer lambda: inside the inner one it would be computed again for every band.
+    return F.flatten(F.transform(F.array(signature_), lambda m: F.transform(cuts, lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice(m, b * rows + 1, F.lit(rows))).alias("bucket")))))

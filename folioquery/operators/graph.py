@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
@@ -126,25 +126,36 @@ PERMUTATIONS, BANDS, ROWS = 128, 32, 4
 MERGE_AT, AMBIGUOUS_AT, MIN_ENTROPY = 92.0, 75.0, 2.5
 
 
-def label_candidates(labels: DataFrame) -> DataFrame:
-    """(a, b) with a < b: labels (id, label) that share a MinHash band of their character shingles.
+#: Rows of a bucket that one task meets with one another; larger buckets are met in pairs of sub-blocks.
+SUB_BLOCK = 256
 
-    Copies of a label are one candidate, so a label that a third of the rows bear costs one row. Within a bucket, labels are linked to the
-    bucket's least label and to their next one in key order, not all to all; links between different labels of a bucket are
-    completed by the components of these.
+
+def numbers(c: Column) -> Column:
+    """The numbers in a label, in order of text, with repeats."""
+    return F.sort_array(F.regexp_extract_all(c, F.lit(r"(\d+)"), 1))
+
+
+def label_candidates(labels: DataFrame, same_numbers: bool = False) -> DataFrame:
+    """(a, b) with a < b: all pairs of labels (id, label) that share a MinHash band of their character shingles.
+
+    Copies of a label are one candidate, so a label that a third of the rows bear costs one row. A bucket is salted into sub-blocks, and each
+    pair of sub-blocks is a key of its own, so no task meets a whole bucket. With same_numbers, labels of other numbers are not met: these
+    are the pairs that numbers_differ() blocks, and the only ones left out.
     """
     one = labels.groupBy("label").agg(F.min("id").alias("id"))
-    keyed = one.withColumn("s", text.shingles(F.col("label"))).where(F.size("s") > 0)
-    banded = keyed.select("id", F.explode(similarity.band_keys(similarity.minhash(F.col("s"), PERMUTATIONS), BANDS, ROWS)).alias("k")).select("id", "k.*")
-    bucket = Window.partitionBy("band", "bucket").orderBy("id")
-    linked = banded.select("id", F.lag("id").over(bucket).alias("before"), F.first("id").over(bucket).alias("least"))
-    pairs = linked.where("before IS NOT NULL").select(F.explode(F.array_distinct(F.array("before", "least"))).alias("a"), F.col("id").alias("b"))
-    return pairs.distinct()
+    keyed = one.withColumn("s", text.shingles(F.col("label"))).where(F.size("s") > 0).withColumn("n", numbers(F.col("label")) if same_numbers else F.array().cast("array<string>"))
+    banded = keyed.select("id", "n", F.explode(similarity.band_keys(similarity.minhash(F.col("s"), PERMUTATIONS), BANDS, ROWS)).alias("k")).select("id", F.xxhash64("k.band", "k.bucket", "n").alias("bucket"))
+    banded = cut(banded)
+    size = banded.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket", F.ceil(F.col("rows") / SUB_BLOCK).cast("int").alias("blocks"))
+    placed = banded.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = placed.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("id").alias("x"))
+    right = placed.select("bucket", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("id").alias("y"))
+    met = left.join(right, ["bucket", "i", "j"]).where("i < j AND x <> y OR x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def numbers_differ(a, b):
     """Guard: the numbers in two labels are not the same."""
-    numbers = lambda c: F.sort_array(F.regexp_extract_all(c, F.lit(r"(\d+)"), 1))
     return numbers(a) != numbers(b)
 
 
@@ -159,10 +170,13 @@ def tokens_swapped(a, b):
     return (F.sort_array(words(a)) == F.sort_array(words(b))) & (words(a) != words(b))
 
 
-def fuzzy_pairs(labels: DataFrame) -> DataFrame:
-    """(a, b, score, decision): candidates scored by Jaro-Winkler; merge from 92, ambiguous from 75, blocked by a guard, else apart."""
+def fuzzy_pairs(labels: DataFrame, same_numbers: bool = False) -> DataFrame:
+    """(a, b, score, decision): candidates scored by Jaro-Winkler; merge from 92, ambiguous from 75, blocked by a guard, else apart.
+
+    With same_numbers, pairs blocked for their numbers are not listed; merges and ambiguous pairs are the same.
+    """
     named = labels.groupBy("label").agg(F.min("id").alias("id")).where(text.entropy(F.col("label")) >= MIN_ENTROPY)
-    pairs = label_candidates(labels).join(named.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+    pairs = label_candidates(named, same_numbers).join(named.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
     scored = pairs.withColumn("score", similarity.jaro_winkler_score(F.col("la"), F.col("lb")))
     a, b = F.col("la"), F.col("lb")
     guard = numbers_differ(a, b) | prefix_contained(a, b) | tokens_swapped(a, b)

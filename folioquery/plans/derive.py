@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import derive, graph
-from ..session import table
+from ..session import cut, table
 from .catalog import query
 from .reports import _HEAD, head
 
@@ -75,8 +75,8 @@ def label_pairs(spark, d):
 
 @query("label_closure")
 def label_closure(spark, d):
-    """Merged labels, with one veto for each ambiguous pair."""
-    pairs = graph.fuzzy_pairs(labels(spark, d))
+    """Merged labels, with one veto for each ambiguous pair; pairs that other numbers keep apart are never met."""
+    pairs = cut(graph.fuzzy_pairs(labels(spark, d), same_numbers=True).where("decision IN ('merge', 'ambiguous')"))
     return graph.closure(pairs.where("decision = 'merge'").select("a", "b", "score"), pairs.where("decision = 'ambiguous'").select("a", "b"))
 
 

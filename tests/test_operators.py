@@ -152,3 +152,17 @@ def test_signatures(spark):
     df = spark.createDataFrame([([1.0, -2.0, 0.5], [1.0, 2.0, -0.5])], "a array<double>, b array<double>")
     row = df.select(similarity.hamming(similarity.signature(F.col("a")), similarity.signature(F.col("b"))).alias("h"), similarity.cosine(F.col("a"), F.col("b")).alias("c")).first()
     assert row.h == 2 and math.isclose(row.c, (1 - 4 - 0.25) / 5.25)
+
+
+def test_label_pairs_against_all_pairs_of_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SUB_BLOCK", 5)
+    names = [f"{i}. {t}{v}" for i in range(1, 9) for t in ("Delivery conditions of the archive", "Delivery condition of the archives") for v in ("", ", annex", " (copy)")]
+    df = spark.createDataFrame(list(enumerate(names)), "id bigint, label string")
+    keyed = df.select("id", F.explode(similarity.band_keys(similarity.minhash(text.shingles(F.col("label")), graph.PERMUTATIONS), graph.BANDS, graph.ROWS)).alias("k")).select("id", "k.*").collect()
+    buckets: dict[tuple, set] = {}
+    for r in keyed:
+        buckets.setdefault((r.band, r.bucket), set()).add(r.id)
+    want = {(a, b) for ids in buckets.values() for a in ids for b in ids if a < b}
+    got = {(r.a, r.b): r.decision for r in graph.fuzzy_pairs(df).collect()}
+    assert set(got) == want and sum(d == "merge" for d in got.values()) > 8
+    assert {(r.a, r.b): r.decision for r in graph.fuzzy_pairs(df, same_numbers=True).collect() if r.decision != "blocked"} == {p: d for p, d in got.items() if d != "blocked"}
