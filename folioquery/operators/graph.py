@@ -94,23 +94,43 @@ def closure(pairs: DataFrame, vetoes: DataFrame) -> DataFrame:
     return plain.unionByName(held.groupBy("component").applyInArrow(settle, f"node {kind}, survivor {kind}"))
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, community): label propagation in synchronous rounds over weighted undirected edges (a, b, weight); the heaviest label wins, ties go to the least."""
-    both = cut(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.max("weight").alias("weight")))
-    labels = cut(both.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
-    for i in range(rounds):
-        votes = both.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        own = labels.select(F.col("node").alias("a"), "community", F.lit(0.5).alias("w"))
-        weighed = votes.unionByName(own).groupBy("a", "community").agg(F.sum("w").alias("w"))
-        labels = cut(weighed.groupBy(F.col("a").alias("node")).agg(F.max_by("community", F.struct("w", (-F.col("community")).alias("low"))).alias("community")))
-    return labels
-
-
-def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(community, members, internal, cohesion): edges inside a community over the edges it could have."""
+def communities(memberships: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(node, community): label propagation over the bipartite graph of memberships (node, key), until nothing changes.
+
+    In turn each key takes the label most of its nodes have, and each node the label most of its keys have; ties go to the least. No turn
+    lowers the number of memberships whose two ends agree, and at the same number labels only fall, so the rounds end by themselves.
+    Pairs of nodes are never formed: a round moves one row a membership.
+    """
+    member = cut(memberships.select("node", "key").distinct())
+    labels = cut(member.select("node", F.col("node").alias("community")).distinct())
+
+    def vote(rows: DataFrame, of: str) -> DataFrame:
+        heaviest = F.max_by("community", F.struct("w", (-F.col("community")).alias("low")))
+        return rows.groupBy(of, "community").agg(F.count("*").alias("w")).groupBy(of).agg(heaviest.alias("community"))
+
+    for _ in range(max_rounds):
+        fresh = cut(vote(member.join(vote(member.join(labels, "node"), "key"), "key"), "node"))
+        same = not fresh.join(labels, ["node", "community"], "left_anti").limit(1).count()
+        labels = fresh
+        if same:
+            return labels
+    raise RuntimeError("communities did not settle")
+
+
+def cohesion(memberships: DataFrame, members: DataFrame) -> DataFrame:
+    """(community, members, internal, cohesion): pairs of nodes inside a community that share a key, each once, over all its pairs.
+
+    Nodes of the same keys are one class: all its pairs are linked, and classes that share a key are linked by the product of their sizes.
+    Rows grow with the different sets of keys in a community, not with its nodes.
+    """
     size = members.groupBy("community").agg(F.count("*").alias("members"))
-    left = edges.join(members.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(members.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
-    inner = left.where("ca = cb").select(F.col("ca").alias("community"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().groupBy("community").agg(F.count("*").alias("internal"))
+    keyed = memberships.select("node", "key").distinct().groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    classes = cut(keyed.join(members, "node").groupBy("community", "keys").agg(F.min("node").alias("class"), F.count("*").alias("m")))
+    own = classes.select("community", F.expr("m * (m - 1) div 2").alias("links"))
+    by_key = classes.select("community", "class", "m", F.explode("keys").alias("key"))
+    other = by_key.select("community", "key", F.col("class").alias("other"), F.col("m").alias("k"))
+    met = by_key.join(other, ["community", "key"]).where("class < other").select("community", "class", "other", (F.col("m") * F.col("k")).alias("links")).distinct()
+    inner = own.unionByName(met.select("community", "links")).groupBy("community").agg(F.sum("links").alias("internal"))
     n = F.col("members")
     return size.join(inner, "community", "left").na.fill(0, ["internal"]).select("community", "members", "internal", F.try_divide(F.col("internal") * 2.0, n * (n - 1)).alias("cohesion"))
 

@@ -40,22 +40,23 @@ def expand_beam(spark, d):
     return graph.expand(edges, seeds)
 
 
-def heading_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Documents linked by a heading key that few of them share: (a, b, weight), consecutive documents of a key only."""
-    titles = head(spark, d).where("kind IN ('heading', 'title') AND text IS NOT NULL").select("doc_ord", text.normalize_key(F.regexp_replace("text", r"^[\d.]+\s+", "")).alias("key")).distinct()
-    order = Window.partitionBy("key").orderBy("doc_ord")
-    return titles.select(F.lag("doc_ord").over(order).alias("a"), F.col("doc_ord").alias("b")).where("a IS NOT NULL").groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
+def heading_keys(spark: SparkSession, d: str) -> DataFrame:
+    """(node, key): each document with each heading key it shares with another one, however many share it."""
+    titles = head(spark, d).where("kind IN ('heading', 'title') AND text IS NOT NULL").select(F.col("doc_ord").alias("node"), text.normalize_key(F.regexp_replace("text", r"^[\d.]+\s+", "")).alias("key")).distinct()
+    return titles.join(titles.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1").select("key"), "key").select("node", "key")
 
 
 @query("doc_communities")
 def doc_communities(spark, d):
-    return graph.communities(heading_edges(spark, d))
+    """Communities of documents that share heading keys."""
+    return graph.communities(heading_keys(spark, d))
 
 
 @query("community_cohesion")
 def community_cohesion(spark, d):
-    edges = heading_edges(spark, d)
-    return graph.cohesion(edges, graph.communities(edges))
+    """How many pairs of documents of a community share a heading key."""
+    keys = cut(heading_keys(spark, d))
+    return graph.cohesion(keys, graph.communities(keys))
 
 
 @query("salience", f"WITH e AS (SELECT block_id AS a, parent_id AS b FROM ({_HEAD}) WHERE parent_id IS NOT NULL), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT a AS node, count(*) AS degree FROM u WHERE a <> b GROUP BY a")

@@ -166,3 +166,18 @@ def test_label_pairs_against_all_pairs_of_the_buckets(spark, monkeypatch):
     got = {(r.a, r.b): r.decision for r in graph.fuzzy_pairs(df).collect()}
     assert set(got) == want and sum(d == "merge" for d in got.values()) > 8
     assert {(r.a, r.b): r.decision for r in graph.fuzzy_pairs(df, same_numbers=True).collect() if r.decision != "blocked"} == {p: d for p, d in got.items() if d != "blocked"}
+
+
+def test_documents_of_one_heading_are_one_community(spark):
+    rows = [(i, "a") for i in range(40)] + [(i, k) for i in range(100, 130) for k in ("b", "c")] + [(i, "d") for i in range(200, 203)] + [(i, "e") for i in range(201, 204)] + [(202, "f"), (203, "f")]
+    member = spark.createDataFrame(rows, "node bigint, key string")
+    found = graph.communities(member)
+    got = {r.node: r.community for r in found.collect()}
+    assert {got[i] for i in range(40)} == {0} and {got[i] for i in range(100, 130)} == {100}
+    keys: dict[int, set] = {}
+    for n, k in rows:
+        keys.setdefault(n, set()).add(k)
+    for r in graph.cohesion(member, found).collect():
+        nodes = [n for n in got if got[n] == r.community]
+        internal = sum(bool(keys[a] & keys[b]) for a in nodes for b in nodes if a < b)
+        assert (r.members, r.internal) == (len(nodes), internal) and (len(nodes) < 2 or math.isclose(r.cohesion, internal * 2 / len(nodes) / (len(nodes) - 1)))
