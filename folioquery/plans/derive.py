@@ -207,11 +207,13 @@ def folded_keys(spark, d):
 
 @query("assertion_diffs")
 def assertion_diffs(spark, d):
-    """Each quotation's least number of edits within its page's block of most common words: the fuzzy check of 'present'."""
+    """Each quotation's least number of edits within any block of its page: the fuzzy check of 'present'."""
     a = table(spark, d, "eval_assertion").where("type = 'present' AND page IS NOT NULL").select("assertion_id", "doc", "page", "max_diffs", F.get_json_object("spec", "$.text").alias("quote")).dropDuplicates(["assertion_id"])
     doc = table(spark, d, "doc").select("doc_ord", F.col("uri").alias("doc"))
-    page = head(spark, d).where("text IS NOT NULL").select("doc_ord", "page", "block_id", "text")
-    near = a.join(doc, "doc").join(page, ["doc_ord", "page"]).where(F.char_length("text") < 4000)
-    shared = F.size(F.array_intersect(text.terms(F.col("text")), text.terms(F.col("quote"))))
-    best = near.groupBy("assertion_id", "quote", "max_diffs").agg(F.max_by("text", F.struct(shared, F.char_length("text"))).alias("text"))
-    return best.select("assertion_id", similarity.least_diffs(F.col("quote"), F.col("text")).alias("diffs"), (similarity.least_diffs(F.col("quote"), F.col("text")) <= F.col("max_diffs")).alias("passed"))
+    page = head(spark, d).where("text IS NOT NULL").select("doc_ord", "page", "text")
+    near = a.join(doc, "doc").join(page, ["doc_ord", "page"])
+    # Quotations that stand word for word in a block are settled first; only the others are compared with every block.
+    exact = cut(near.where(F.contains("text", "quote")).select("assertion_id", "max_diffs").distinct())
+    rest = near.join(exact.select("assertion_id"), "assertion_id", "left_anti").select("assertion_id", "max_diffs", similarity.least_diffs(F.col("quote"), F.col("text")).alias("diffs"))
+    best = exact.withColumn("diffs", F.lit(0)).unionByName(rest.groupBy("assertion_id", "max_diffs").agg(F.min("diffs").alias("diffs")))
+    return best.select("assertion_id", "diffs", (F.col("diffs") <= F.col("max_diffs")).alias("passed"))

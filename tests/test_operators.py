@@ -181,3 +181,19 @@ def test_documents_of_one_heading_are_one_community(spark):
         nodes = [n for n in got if got[n] == r.community]
         internal = sum(bool(keys[a] & keys[b]) for a in nodes for b in nodes if a < b)
         assert (r.members, r.internal) == (len(nodes), internal) and (len(nodes) < 2 or math.isclose(r.cohesion, internal * 2 / len(nodes) / (len(nodes) - 1)))
+
+
+def test_quotations_are_sought_in_every_block(spark, tmp_path):
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(n))) for n in (80, 120))
+        assert similarity.fuzzy_least(a, b) == (0 if a in b else min(d for _, d in similarity.fuzzy_ends(a, b, len(a))))
+    from folioquery.plans import derive as plans
+
+    blocks = [(1, 0, "the ledger of the archive is kept", 1), (1, 0, "is kept the archive of the ledger " + "x" * 9, 2), (1, 1, "y" * 5000 + "long quotation", 3), (1, 1, "long", 4)]
+    asked = [("a1", 0, "the ledger of the archive is kept"), ("a2", 1, "long quotation"), ("a3", 1, "long quotatoin y")]
+    spark.createDataFrame([(1, 0, "u", "ok")], "doc_ord bigint, gen int, uri string, status string").write.parquet(f"{tmp_path}/doc.parquet")
+    spark.createDataFrame([(d, p, t, i, 0, 0, None) for d, p, t, i in blocks], "doc_ord bigint, page int, text string, block_id bigint, gen int, state int, written_at timestamp").write.parquet(f"{tmp_path}/block.parquet")
+    spark.createDataFrame([(i, "u", p, "present", 2, '{"text": "%s"}' % q) for i, p, q in asked], "assertion_id string, doc string, page int, type string, max_diffs int, spec string").write.parquet(f"{tmp_path}/eval_assertion.parquet")
+    got = {r.assertion_id: (r.diffs, r.passed) for r in plans.assertion_diffs(spark, str(tmp_path)).collect()}
+    assert got == {"a1": (0, True), "a2": (0, True), "a3": (4, False)}
