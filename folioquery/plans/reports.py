@@ -398,8 +398,8 @@ def paired_sign_flip(spark, d):
 
 @query("threshold_fit")
 def threshold_fit(spark, d):
-    """The pass rate of each slice as a non-decreasing function of the score."""
-    v = verdicts(spark, d).where("score IS NOT NULL").select("slice_key", F.round("score", 1).alias("score"), F.col("passed").cast("double").alias("passed"))
+    """The pass rate of each slice as a non-decreasing function of the score, fitted over every distinct score."""
+    v = verdicts(spark, d).where("score IS NOT NULL").select("slice_key", "score", F.col("passed").cast("double").alias("passed"))
     return stats.isotonic(v, "slice_key", "score", "passed")
 
 

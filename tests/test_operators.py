@@ -197,3 +197,12 @@ def test_quotations_are_sought_in_every_block(spark, tmp_path):
     spark.createDataFrame([(i, "u", p, "present", 2, '{"text": "%s"}' % q) for i, p, q in asked], "assertion_id string, doc string, page int, type string, max_diffs int, spec string").write.parquet(f"{tmp_path}/eval_assertion.parquet")
     got = {r.assertion_id: (r.diffs, r.passed) for r in plans.assertion_diffs(spark, str(tmp_path)).collect()}
     assert got == {"a1": (0, True), "a2": (0, True), "a3": (4, False)}
+
+
+def test_thresholds_are_fitted_over_unrounded_scores(spark, tmp_path):
+    from folioquery.plans import reports
+
+    rows = [("r", f"a{i}", "text", passed, score, "s", 1, 1) for i, (score, passed) in enumerate([(0.86, 0), (0.861, 0), (0.94, 1), (0.94, 1), (None, 1)])]
+    spark.createDataFrame(rows, "run_id string, assertion_id string, evaluator string, passed int, score double, slice_key string, wall_ms int, micros int").withColumn("loaded_at", F.lit("2026-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/eval_verdict.parquet")
+    got = [(r.score, r.n, r.fitted) for r in reports.threshold_fit(spark, str(tmp_path)).orderBy("score").collect()]
+    assert got == [(0.86, 1, 0.0), (0.861, 1, 0.0), (0.94, 2, 1.0)]
