@@ -10,16 +10,19 @@ from ..functions import similarity, text
 from ..session import cut
 
 
-def descend(edges: DataFrame, roots: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(root, node, depth): all descendants along (parent, child) edges, each at its least depth; cycles end by themselves."""
+def descend(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(root, node, depth): all descendants along (parent, child) edges, each at its least depth; cycles end by themselves.
+
+    Nothing is left out: a tree deeper than max_depth is an error.
+    """
     found = front = cut(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")))
     for depth in range(1, max_depth + 1):
         step = front.join(edges.select(F.col("parent").alias("node"), "child"), "node").select("root", F.col("child").alias("node")).distinct()
         front = cut(step.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():
-            break
+            return found
         found = found.unionByName(front)
-    return found
+    raise RuntimeError("descend did not end")
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, beam: int = 64, hub_cap: int = 4096) -> DataFrame:

@@ -84,8 +84,8 @@ _SPANS = "SELECT user_id, event_id AS id, ts FROM events WHERE event_type = '{}'
 
 @query("span_pairs", f"SELECT a.user_id, a.id AS start_id, b.id AS end_id, a.ts AS started, b.ts AS ended FROM ({_SPANS.format('view')}) a JOIN ({_SPANS.format('purchase')}) b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")
 def span_pairs(spark, d):
-    """Views and the purchases of the same user within an hour, by a stream-stream join."""
-    of = lambda kind: events.stream_table(spark, f"{d}/events.parquet").where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias("id"), "ts")
+    """Views and the purchases of the same user within an hour, by a stream-stream join; the table is one batch, as its files may stand in any order of time."""
+    of = lambda kind: events.stream_table(spark, f"{d}/events.parquet", None).where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias("id"), "ts")
     out = events.run_to_end(events.pair_spans(of("view"), of("purchase"), "user_id"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
 

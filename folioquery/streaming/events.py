@@ -33,13 +33,15 @@ def read_log(spark: SparkSession, path: str, schema: str | StructType = EVENT) -
     return lines.where("e._corrupt_record IS NULL").select("e.*").drop("_corrupt_record"), lines.where("e._corrupt_record IS NOT NULL").select("e._corrupt_record")
 
 
-def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table read as a stream, one file a batch."""
+def stream_table(spark: SparkSession, path: str, files: int | None = 8) -> DataFrame:
+    """A parquet table read as a stream, `files` files a batch; None takes the whole table in one batch, so that no row can be late."""
     import os
 
     schema = spark.read.parquet(path).schema
     folder, name = os.path.split(path.rstrip("/"))
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     rows = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", name).parquet(folder)
     # Watermarks need instants; wall-clock columns are read in the session's time zone.
     return rows.withColumns({n: F.col(n).cast("timestamp") for n, t in rows.dtypes if t == "timestamp_ntz"})

@@ -206,3 +206,29 @@ def test_thresholds_are_fitted_over_unrounded_scores(spark, tmp_path):
     spark.createDataFrame(rows, "run_id string, assertion_id string, evaluator string, passed int, score double, slice_key string, wall_ms int, micros int").withColumn("loaded_at", F.lit("2026-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/eval_verdict.parquet")
     got = [(r.score, r.n, r.fitted) for r in reports.threshold_fit(spark, str(tmp_path)).orderBy("score").collect()]
     assert got == [(0.86, 1, 0.0), (0.861, 1, 0.0), (0.94, 2, 1.0)]
+
+
+def test_descend_reaches_every_depth(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(19)], "parent bigint, child bigint")
+    got = {r.node: r.depth for r in graph.descend(edges, spark.createDataFrame([(0,)], "root bigint")).collect()}
+    assert got == {i: i for i in range(20)}
+    with pytest.raises(RuntimeError):
+        graph.descend(edges, spark.createDataFrame([(0,)], "root bigint"), 3)
+
+
+def test_spans_of_files_in_any_order_of_time(spark, tmp_path):
+    import datetime
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from folioquery.plans import files
+
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for i in range(30):
+        at = datetime.datetime(2026, 3, 1) - datetime.timedelta(days=i)
+        rows = {"event_id": [2 * i, 2 * i + 1], "user_id": [i, i], "event_type": ["view", "purchase"], "ts": pa.array([at, at + datetime.timedelta(minutes=30)], pa.timestamp("us"))}
+        pq.write_table(pa.table(rows), folder / f"{i:02}.parquet")
+        os.utime(folder / f"{i:02}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    assert sorted(r.user_id for r in files.span_pairs(spark, str(tmp_path)).collect()) == list(range(30))
