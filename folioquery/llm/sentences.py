@@ -12,15 +12,18 @@ leave out white space after the sentence; what follows a sentence without a lett
 
 from __future__ import annotations
 
+import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import texts_of
+from .tokens import TOKENIZER_DIR, read_ranks, texts_of
 
 # Abbreviations by what follows them. They are compared in lower case, without the last full stop.
 #: A name or a word always follows.
@@ -34,46 +37,84 @@ EITHER = set("etc ltd inc co corp jr sr. a.m p.m am pm usw u.s.w al д п пр 
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember".split())
 BEFORE_ORDINAL = set("am im vom zum beim bis ab seit der die das dem den des ein eine einem einen einer und".split())
 REPORTED = r"(?:asked|demanded|inquired|wondered|cried|exclaimed|shouted|said)"
-#: Words and endings of spaceless scripts: what goes on after a quotation or bracket.
-JA_GOES_ON = ["という", "として", "とは", "との", "とも", "って", "から", "まで", "など", "では", "には", "と", "を", "が", "は", "に", "で", "の", "も", "へ", "や", "か"]
-JA_WORDS = [*JA_GOES_ON, "です", "ます", "した", "する", "ある", "いる", "だ", "よ", "ね", "か", "書いた", "言った", "述べた", "記録係", "検査員", "見よ", "止めよ", "すぐ", "それ", "これ", "しかし", "また", "そして"]
-ZH_REPORTS = ["问道", "说道", "答道", "写道", "喊道", "回答", "表示", "说", "问", "答", "写"]
-ZH_WORDS = [*ZH_REPORTS, "吗", "呢", "吧", "了", "的", "是", "还", "有效", "据", "审核人", "档案员", "但是", "因为", "所以", "如果"]
-TH_FINALS = ["แล้ว", "หรือไม่", "ครับ", "ค่ะ", "นะ", "เปอร์เซ็นต์", "ตามปกติ"]
-TH_OPENERS = ["หลังจาก", "เมื่อ", "ค่า", "เจ้าหน้าที่", "ผู้", "ไฟล์", "แต่", "และ", "ดังนั้น", "ถ้า", "หาก", "เพราะ", "โดย", "ใน", "จาก", "บันทึก", "ตาราง", "สัญญา", "เอกสาร", "รายงาน", "ดัชนี"]
-TH_WORDS = [*TH_FINALS, *TH_OPENERS, "กล่าว", "ว่า", "ยืนยัน", "แทนที่", "สรุป", "ปรับปรุง", "หน้าแรก", "สำเนา", "เดิม", "ผลลัพธ์", "ก่อนหน้า", "รายการ", "อ้างอิง", "ได้", "คือ", "ที่", "วัด", "วัน", "ยัง", "ใช้", "งาน", "คลัง", "ตรวจสอบ", "การ", "เก็บ", "รักษา", "ประเมิน"]
+# Closed classes of the spaceless scripts. The lattices add the words of a public vocabulary to them.
+#: Particles and conjunctions with which a sentence goes on after a quotation or bracket.
+JA_GOES_ON = ["という", "といった", "といって", "として", "とは", "との", "とも", "って", "から", "まで", "など", "なら", "では", "には", "にも", "への", "より", "だけ", "しか", "ほど", "と", "を", "が", "は", "に", "で", "の", "も", "へ", "や", "か"]
+#: Words that open a sentence though they begin like a particle.
+JA_OPENERS = ["とにかく", "ところが", "ところで", "とりあえず", "とても", "とき", "では、", "でも", "でも、", "ですから", "だから", "はい", "はじめ", "ものの", "もし", "もちろん", "もう", "もっと", "のち", "にもかかわらず", "がんば", "から、", "やはり", "やっと", "かつて", "かなり", "かれ", "かのじょ", "それ", "これ", "しかし", "また", "そして", "さらに", "なお", "ただし", "つまり"]
+JA_WORDS = [*JA_GOES_ON, *JA_OPENERS, "です", "ます", "でした", "ました", "ません", "した", "する", "して", "ある", "いる", "ない", "だ", "よ", "ね", "な", "見よ", "参照"]
+#: Verbs of speech; one among the last three words after a quotation makes a reporting clause.
+ZH_SPEECH = ["问道", "说道", "答道", "写道", "喊道", "叫道", "笑道", "叹道", "补充道", "回答道", "解释道", "问", "说", "答", "喊", "叫", "回答", "告诉", "抱怨", "感叹", "嘀咕", "嘟囔", "低语", "大喊", "大叫", "打招呼", "問道", "說道", "寫道", "問", "說"]
+#: Verbs that make one as the last word only.
+ZH_REPORTS = [*ZH_SPEECH, "写", "讲", "道", "表示", "指出", "强调", "认为", "解释", "补充", "提醒", "警告", "宣布", "透露", "承认", "否认", "寫", "回應", "宣佈"]
+#: Words that open a sentence of its own after a quotation.
+ZH_OPENERS = ["据", "根据", "按", "按照", "但是", "但", "不过", "然而", "因为", "由于", "所以", "因此", "如果", "虽然", "同时", "此外", "另外", "而且", "于是", "之后", "后来", "據", "根據", "但是", "因為", "所以", "如果", "雖然"]
+ZH_WORDS = [*ZH_REPORTS, *ZH_OPENERS, "吗", "呢", "吧", "啊", "了", "着", "过", "的", "地", "得", "是", "在", "有", "还", "也", "就", "都", "很"]
+#: Particles and words that end, and words that open, a Thai sentence.
+TH_FINALS = ["แล้ว", "หรือไม่", "หรือยัง", "ไหม", "มั้ย", "ครับ", "คะ", "ค่ะ", "นะ", "จ้ะ", "เลย", "ด้วย", "เถอะ", "สิ", "ล่ะ", "เปอร์เซ็นต์", "ตามปกติ"]
+TH_OPENERS = ["หลังจาก", "ก่อน", "เมื่อ", "ขณะที่", "ผู้", "แต่", "และ", "หรือ", "ดังนั้น", "เพราะ", "เพราะฉะนั้น", "อย่างไรก็ตาม", "นอกจากนี้", "ถ้า", "หาก", "แม้", "โดย", "ใน", "จาก", "ตาม", "สำหรับ", "เขา", "เธอ", "ฉัน", "ผม", "เรา", "มัน", "นี่", "นั่น", "ทุก", "บาง", "ค่า", "เจ้าหน้าที่", "ไฟล์", "บันทึก", "ตาราง", "สัญญา", "เอกสาร", "รายงาน", "ดัชนี"]
+TH_WORDS = [*TH_FINALS, *TH_OPENERS, "กล่าว", "ว่า", "ได้", "คือ", "ที่", "ซึ่ง", "อัน", "วัน", "ยัง", "ใช้", "การ", "ความ", "เป็น", "มี", "ไม่", "จะ", "ให้", "ไป", "มา", "กับ", "ของ", "นี้", "นั้น", "กว่า"]
+# Function words that, with a capital, open a sentence rather than go on with a name.
+OPENERS = set("the a an this that these those it he she they we you i in on at by for from with after before when while because if but and or so as no not there here what who how why der die das ein eine es er sie wir le la les un une il elle ils el los las una en il lo gli o os as um uma het een".split())
 
 #: Characters without a look that may stand before a word.
 _UNSEEN = "﻿​‌‍‎‏⁠­"
 _BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _LIST = re.compile(rf"[{_UNSEEN}]*(?:[-*•‣◦▪·–]|\(?\d{{1,3}}[.)]|\(?[a-z][.)]|\(?[^\W\d_]\)|\(?[ivx]{{1,4}}\))\s+(?=\S)")
 _MARK = re.compile(rf"[{_UNSEEN}]*(?:#{{1,6}}\s+)?(?:\d{{1,3}}(?:\.\d{{1,3}})*[.)]?|[^\W\d_]\))\s+")
-_CODE = re.compile(r"(?:return|def|class|import|from|if|for|while|elif|else|print|assert|raise|yield|with)\b[^.!?]*[\[\](){}:=]|[\w.]+(?:\[[^\]]*\])*\s*[-+*/|&]?=(?![=>])\s*\S|[\w.]+\([^)]*\)\s*(?:;|#|//|$)|\{.*[\"'].*\}|[|{}<].*[|{}>]$|(?!.*[.!?][\"”»)]*\s+\S)(?=.{1,160}$).*\t.*\t|```|\$ |>>> |(?=.*[=()\[\]])[^Ͱ-Ͽ]*[;{}]$")
+_CODE = re.compile(r"(?:return|def|class|import|from|if|for|while|elif|else|print|assert|raise|yield|with)\b[^.!?]*[\[\](){}:=]|[\w.]+(?:\[[^\]]*\])*\s*[-+*/|&]?=(?![=>])\s*\S|[\w.]+\([^)]*\)\s*(?:;|#|//|$)|\{.*[\"'].*\}|[|{}<].*[|{}>]$|(?!.*[.!?][\"”»)]*\s+\S).*\t.*\t|```|\$ |>>> |(?=.*[=()\[\]])[^Ͱ-Ͽ]*[;{}]$")
 _CLOSERS = r"(?:[\"'”’»›)\]」』）】〉》“‘]|[   ]?(?<=[   ])»)*"
 _TERMINATOR = re.compile(rf"(?:[.!?…]+(?:[   ]?[!?]+)*|(?<=[Ͱ-Ͽἀ-῿]);|[؟۔]+|[।॥]+|[。！？｡]+)((?:[\"'”’»›)\]」』）】〉》“‘]|[   ]»)*)")
 _THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])([^\S\n\r\x0b\x0c\x85  ]+|\s+)(?=[ก-ฺเ-๎])")
 _SPACELESS_END = re.compile(r"[。！？｡]")
 _WORD_BEFORE = re.compile(r"(\S*)$")
 _ALNUM = re.compile(r"[^\W_]")
+_DOTTED = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+_NEXT_WORD = re.compile(r"[^\w]*([^\W\d_]+)")
 _ASKS = re.compile(rf"(?:the\s+[\w ]{{2,30}}?|(?:[A-Z][a-z]*\.\s*)*[A-Z]\w+(?:\s+(?:Ltd\.|of|and|[A-Z]\w*\.?))*)\s+{REPORTED}\b")
 _OPENING = _UNSEEN + "\"'“”‘„‚«‹([{¿¡「『（【〈《—–- "
 _PAIRS = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】", "《": "》"}
 _CLOSING = {v: k for k, v in _PAIRS.items()}
+_BRACKET = re.compile("[" + re.escape("".join([*_PAIRS, *_CLOSING])) + "]")
 _NEVER, _HARD, _SOFT = 9.0, 4.0, 1.0
-_REACH = 24
+#: What a sentence costs that leaves a bracket open which is closed later.
+_OPEN = 3.0
+
+
+#: Ranks of public vocabularies whose words, written in a spaceless script, the lattices know.
+WORD_FILES = ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken")
+_SCRIPT_WORD = re.compile(r"[ก-๎]{2,}|[一-鿿]{2,}|[぀-ヿ一-鿿]{2,}")
+
+
+@cache
+def vocabulary_words(folder: str) -> frozenset[str]:
+    """Words of two or more Thai, Han or Kana characters among the tokens of the vocabularies in a folder; none where it has no such files."""
+    out = set()
+    for name in WORD_FILES:
+        if os.path.exists(f"{folder}/{name}"):
+            for token in read_ranks(f"{folder}/{name}"):
+                word = token.decode("utf-8", "ignore").strip()
+                if _SCRIPT_WORD.fullmatch(word) and word.encode() in token:
+                    out.add(word)
+    return frozenset(out)
 
 
 class Lattice:
-    """Dictionary word segmentation: the cheapest path of dictionary words and single unknown characters."""
+    """Dictionary word segmentation: the cheapest path of dictionary words and single unknown characters.
+
+    A known closed-class word costs less than one of the vocabulary, which costs less than unknown characters; longer words cost less than
+    several short ones.
+    """
 
-    def __init__(self, words: list[str]) -> None:
-        self.words, self.longest = set(words), max(map(len, words))
+    def __init__(self, words: list[str], more: frozenset[str] = frozenset()) -> None:
+        self.cost = {w: 1.6 + 1.0 / len(w) for w in more} | {w: 1.0 + 1.0 / len(w) for w in words}
+        self.longest = max(map(len, self.cost))
 
     def segment(self, run: str) -> list[str]:
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(run) + 1):
             options = [(best[end - 1][0] + 2.0, end - 1)]
-            options += [(best[end - k][0] + 1.0 + 1.0 / k, end - k) for k in range(1, min(self.longest, end) + 1) if run[end - k : end] in self.words]
+            options += [(best[end - k][0] + self.cost[w], end - k) for k in range(1, min(self.longest, end) + 1) if (w := run[end - k : end]) in self.cost]
             best.append(min(options))
         out, at = [], len(run)
         while at:
@@ -82,34 +123,46 @@ class Lattice:
         return out[::-1]
 
 
-_JA, _ZH, _TH = Lattice(JA_WORDS), Lattice(ZH_WORDS), Lattice(TH_WORDS)
+@cache
+def _lattices() -> tuple[Lattice, Lattice, Lattice]:
+    """Japanese, Chinese and Thai, with the vocabulary's words of each script."""
+    words = vocabulary_words(TOKENIZER_DIR)
+    kana = frozenset(w for w in words if _KANA.search(w))
+    thai = frozenset(w for w in words if "ก" <= w[0] <= "๎")
+    return Lattice(JA_WORDS, kana), Lattice(ZH_WORDS, words - kana - thai), Lattice(TH_WORDS)
+
+
 _KANA = re.compile(r"[぀-ヿ]")
+_RUN = re.compile(r"[^\s。！？｡，、；：「『（“]*")
+_SPACE = re.compile(r"\s*")
+_HAN_COMMA = re.compile(r"[一-鿿]*[，、]")
 
 
-def spaceless_gap_ends(before: str, closers: str, after: str) -> bool:
+def spaceless_gap_ends(body: str, m: re.Match) -> bool:
     """Whether a terminator of a spaceless script, with its closing marks, ends the sentence."""
-    nxt = after.lstrip()
-    if not closers or not nxt:
+    closers, at = m[1], _SPACE.match(body, m.end()).end()
+    if not closers or at == len(body):
         return True
-    run = re.match(r"[^\s。！？｡，、；：「『（“]*", nxt)[0]
-    words = _JA.segment(run[:12]) if run else []
-    if _KANA.match(nxt):
-        return not (words and words[0] in JA_GOES_ON)
-    if "）" in closers or ")" in closers:
-        return not (words and words[0] in JA_GOES_ON) and not re.match(r"[一-鿿]*[，、]", nxt)
-    # A reporting clause after the quotation that opened the sentence: it ends in a verb of speech. After a colon the quotation ends it.
-    opened = max(before.rfind("“"), before.rfind("「"), before.rfind("『"), before.rfind('"'))
-    if opened > 0 and before[opened - 1] in "：:":
+    ja, zh, _ = _lattices()
+    run = _RUN.match(body, at)[0]
+    if _KANA.match(run) or ")" in closers or "）" in closers:
+        words = ja.segment(run[: 2 * ja.longest]) if run else []
+        return not (words and words[0] in JA_GOES_ON) and (bool(_KANA.match(run)) or not _HAN_COMMA.match(body, at))
+    # A reporting clause after the quotation that opened the sentence has a verb of speech among its last words. After a colon the quotation ends it.
+    opened = max(body.rfind(c, 0, m.start()) for c in "“「『\"")
+    if opened > 0 and body[opened - 1] in "：:":
         return True
-    tail = _ZH.segment(run[-8:]) if run else []
-    return not (tail and tail[-1] in ZH_REPORTS)
+    words = zh.segment(run)
+    return not words or words[0] in ZH_OPENERS or not (words[-1] in ZH_REPORTS or any(w in ZH_SPEECH for w in words[-3:]))
 
 
-def thai_gap_ends(before: str, gap: str, after: str) -> bool:
-    """A space between Thai letters ends the sentence; a line end alone does so only between a final and an opening word."""
-    if not _BREAK.search(gap):
+def thai_gap_ends(body: str, m: re.Match) -> bool:
+    """A space between Thai letters ends the sentence (so the task defines it); a line end does so only between a final and an opening word."""
+    if not _BREAK.search(m[1]):
         return True
-    last, first = _TH.segment(before[-16:]), _TH.segment(after[:16])
+    thai = _lattices()[2]
+    reach = 2 * thai.longest
+    last, first = thai.segment(body[max(0, m.start() - reach) : m.start()]), thai.segment(body[m.end() : m.end() + reach])
     return bool(first) and first[0] in TH_OPENERS or bool(last) and last[-1] in TH_FINALS
 
 
@@ -155,8 +208,12 @@ def node_costs(body: str, m: re.Match, start: int) -> tuple[float, float] | None
         if word == "т" and lower or first.isdigit():
             return _NEVER, 0.0
         return (_NEVER, 0.0) if lower or len(word) == 1 and token.islower() else (_HARD, _SOFT) if word != "no" else (0.0, _SOFT)
+    opens = (w := _NEXT_WORD.match(nxt)) is not None and w[1][:1].isupper() and w[1].casefold() in OPENERS
     if len(token) == 1 and token.isalpha():
-        return _NEVER, 0.0
+        # An initial before a name; a letter before a function word may end the sentence ("vitamin C. The").
+        return (_NEVER, 0.0) if not opens or len(w[1]) == 1 else (_SOFT, 0.0)
+    if _DOTTED.fullmatch(token):
+        return (_NEVER, 0.0) if lower else (0.0, _SOFT) if opens else (_SOFT, 0.0)
     if token.isdigit():
         if not body[start : m.start() - len(token)].strip(_OPENING + "#*•"):
             return _NEVER, 0.0
@@ -167,31 +224,48 @@ def node_costs(body: str, m: re.Match, start: int) -> tuple[float, float] | None
     return 0.0, _HARD
 
 
-def _open_brackets(text: str) -> int:
-    depth: list[str] = []
-    for c in text:
-        if c in _PAIRS:
-            depth.append(c)
-        elif c in _CLOSING and depth and depth[-1] == _CLOSING[c]:
-            depth.pop()
-    return len(depth)
+def _last_open(body: str, points: list[int]) -> list[int]:
+    """For each point, the place of the last bracket before it that is still open there, or -1."""
+    out, depth, it = [], [], iter(_BRACKET.finditer(body))
+    m = next(it, None)
+    for p in points:
+        while m and m.start() < p:
+            if m[0] in _PAIRS:
+                depth.append((m[0], m.start()))
+            elif depth and depth[-1][0] == _CLOSING[m[0]]:
+                depth.pop()
+            m = next(it, None)
+        out.append(depth[-1][1] if depth else -1)
+    return out
 
 
 def _best_path(body: str, nodes: list[tuple[int, float, float]]) -> list[int]:
-    """The break positions of the cheapest path through the nodes (position, cost of breaking, cost of going on)."""
-    brackets = any(c in body for c in _PAIRS)
+    """The break positions of the cheapest path through the nodes (position, cost of breaking, cost of going on).
+
+    One forward pass, however long a sentence is: the cost of going on is a running sum, so an edge from any earlier node costs that node's
+    value plus one term; a stack of rising values gives the best node after the last bracket still open, from where the
+    edge has no bracket open. Of equal paths the one with the longer last sentence is taken.
+    """
     points = [(0, 0.0, 0.0), *nodes]
-    best: list[tuple[float, int]] = [(0.0, 0)]
+    opened = _last_open(body, [p for p, _, _ in points]) if any(c in body for c in _PAIRS) else None
+    total = 0.0
+    values, places, indices = [0.0], [0], [0]  # rising values of earlier nodes, less the cost of going on up to them
+    best = [(0.0, 0)]
     for i in range(1, len(points)):
-        inside, options = 0.0, []
-        for j in range(i - 1, max(-1, i - 1 - _REACH), -1):
-            edge = body[points[j][0] : points[i][0]]
-            unbalanced = 3.0 if brackets and len(edge) < 600 and _open_brackets(edge) else 0.0
-            options.append((best[j][0] + inside + points[i][1] + unbalanced, j))
-            inside += points[j][2]
-            if inside > 30:
-                break
+        place, breaking, going = points[i]
+        options = [(values[0] + total + breaking + (_OPEN if opened and opened[i] >= places[0] else 0.0), indices[0])]
+        if opened and opened[i] >= places[0] and (k := bisect_right(places, opened[i])) < len(places):
+            options.append((values[k] + total + breaking, indices[k]))
         best.append(min(options))
+        total += going
+        own = best[i][0] - total
+        while values and values[-1] > own:
+            values.pop()
+            places.pop()
+            indices.pop()
+        values.append(own)
+        places.append(place)
+        indices.append(i)
     at, out = len(points) - 1, []
     while at:
         out.append(points[at][0])
@@ -209,12 +283,12 @@ def block_ends(body: str) -> list[int]:
     nodes: dict[int, tuple[float, float]] = {}
     for m in _TERMINATOR.finditer(body, start):
         if _SPACELESS_END.match(m[0]):
-            ends = spaceless_gap_ends(body[max(0, m.start() - 80) : m.start()], m[1], body[m.end() : m.end() + 60])
+            ends = spaceless_gap_ends(body, m)
             nodes[m.end()] = (0.0, _HARD) if ends else (_NEVER, 0.0)
         elif (cost := node_costs(body, m, start)) is not None:
             nodes[m.end()] = cost
     for m in _THAI_GAP.finditer(body):
-        if thai_gap_ends(body[max(0, m.start() - 24) : m.start()], m[1], body[m.end() : m.end() + 24]):
+        if thai_gap_ends(body, m):
             nodes.setdefault(m.start(), (0.0, _HARD))
     nodes.setdefault(n, (0.0, _NEVER))
     nodes[n] = (0.0, _NEVER)

