@@ -2,11 +2,12 @@
 
 Step 1, in SQL: every value is mapped by look (width forms, spaces, hyphens, ligatures, letters of another script with the same
 shape; invisible characters go). Step 2: the mapped values are grouped under the accent-sensitive, case-sensitive Unicode
-collation, under which the ways to write an accent are equal; the least member of a class is its canonical form.
-Step 3: that form is joined back to the values.
+collation, under which the ways to write an accent are equal. Step 3: a member of each class is chosen as its canonical form and joined back
+to the values: the one with the fewest words of mixed scripts, then the fewest characters that a plainer one stands for, then
+the least. The mapped form is a key only; a text in one script stays in it.
 
 Letter case, raised digits, accents, and any other letter or digit stay different. Defined results: null has the null form; the
-empty text and a text of nothing but invisible characters have the empty form; repeated rows keep their number.
+empty text and a text of nothing but invisible characters share one form, the empty one if it occurs; repeated rows keep their number.
 """
 
 from __future__ import annotations
@@ -24,7 +25,13 @@ COLLATION = "UNICODE"
 # Letters of other scripts whose shape is that of a Latin letter.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝ", "ABESIJKMHOPCTYXaesijopcyxdhqw"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"))
-SAME_SHAPE = CYRILLIC | GREEK
+CYRILLIC_MORE = dict(zip("һӀӏѴѵԌҮү", "hIlVvGYy"))
+GREEK_MORE = dict(zip("ϜͿϹ", "FJC"))
+ARMENIAN = dict(zip("ՕՍՏԼօսոհցզյ", "OUSLounhgqj"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏟᏒᏔᏕᏙᏚᏞᏢᏦᏴᎥᏏ", "DRTAJEWMHGZCRWSVSLPKBib"))
+COPTIC = dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "HIKMNOPCTYXopc"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+SAME_SHAPE = CYRILLIC | GREEK | CYRILLIC_MORE | GREEK_MORE | ARMENIAN | CHEROKEE | COPTIC | LISU
 # Hyphens that look like the ASCII one.
 HYPHENS = "‐‑﹣－"
 
@@ -43,12 +50,13 @@ def look_table() -> tuple[dict[str, str], dict[str, str]]:
     for code in [*range(0x00, 0x20), *range(0x7F, 0xA0)]:
         if chr(code) not in "\t\n\r\x85":
             put(chr(code), "")
-    for code in range(0xA0, 0x10000):
+    # Beyond the basic plane: mathematical letters, tags and selectors without a look.
+    for code in [*range(0xA0, 0x10000), *range(0x1D400, 0x1D800), *range(0xE0000, 0xE01F0)]:
         if 0xD800 <= code < 0xF900 or 0x3400 <= code < 0xA000 or 0xAC00 <= code < 0xD7A4:
             continue
         c = chr(code)
         kind = unicodedata.category(c)
-        if kind == "Cf" and not 0x600 <= code <= 0x605 or code == 0x34F or 0xFE00 <= code <= 0xFE0F:
+        if kind == "Cf" and not 0x600 <= code <= 0x605 or code == 0x34F or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code:
             put(c, "")
         elif kind == "Zs":
             put(c, " ")
@@ -58,7 +66,10 @@ def look_table() -> tuple[dict[str, str], dict[str, str]]:
             # Width forms, Latin and Arabic ligatures and positional forms; marks that would stand on a space stay as they are.
             to = "゙" if code == 0xFF9E else "゚" if code == 0xFF9F else unicodedata.normalize("NFKC", c)
             put(c, c if " " in to and len(to) > 1 else to)
-        elif 0x370 <= code < 0x530 or 0x1F00 <= code < 0x2000:
+        elif 0x2160 <= code <= 0x217F or unicodedata.decomposition(c).startswith("<font>"):
+            # Roman numerals and letters of a mathematical font are the letters they are made of.
+            put(c, unicodedata.normalize("NFKC", c).translate(shape))
+        elif 0x370 <= code < 0x590 or 0x1F00 <= code < 0x2000 or c in SAME_SHAPE:
             put(c, unicodedata.normalize("NFC", unicodedata.normalize("NFD", c).translate(shape)))
     return single, several
 
@@ -85,7 +96,7 @@ def by_look(text: Column) -> Column:
 
 
 #: Characters with a mapping to several that are replaced: Latin ligatures, lam-alef ligatures and the accented letters of other scripts.
-SEVERAL = [c for c in look_table()[1] if 0xFB00 <= ord(c) <= 0xFB06 or 0xFEF5 <= ord(c) <= 0xFEFC or ord(c) < 0x530]
+SEVERAL = [c for c in look_table()[1] if 0xFB00 <= ord(c) <= 0xFB06 or 0xFEF5 <= ord(c) <= 0xFEFC or ord(c) < 0x590 or 0x2160 <= ord(c) <= 0x217F]
 
 
 @cache
@@ -142,13 +153,42 @@ def canonical_classes(mapped: DataFrame) -> DataFrame:
     return least.select("k1", "k2", F.coalesce(checked, "c").alias("canonical"))
 
 
+def odd_characters() -> str:
+    """Characters that a plainer one stands for: all of the mapping but letters of other scripts."""
+    return "".join(c for c in [*look_table()[0], *SEVERAL] if c not in SAME_SHAPE and not 0x370 <= ord(c) < 0x590)
+
+
+def oddity(text: Column) -> Column:
+    """(words of mixed scripts, characters that a plainer one stands for, combining marks): of members of a class the least is the plainest."""
+    other = "\\p{IsCyrillic}\\p{IsGreek}\\p{IsArmenian}\\p{IsCherokee}\\p{IsCoptic}\\p{IsLisu}"
+    mixed = F.size(F.regexp_extract_all(text, F.lit(f"(?:\\p{{IsLatin}}[\\p{{L}}\\p{{M}}]*[{other}]|[{other}][\\p{{L}}\\p{{M}}]*\\p{{IsLatin}})"), F.lit(0)))
+    measured = F.struct(mixed.alias("mixed"), (F.char_length(text) - F.char_length(F.translate(text, odd_characters(), ""))).alias("odd"), F.regexp_count(text, F.lit("\\p{Mn}")).alias("marks"))
+    return F.when(text.rlike(PLAIN), F.struct(F.lit(0).alias("mixed"), F.lit(0).alias("odd"), F.lit(0).alias("marks"))).otherwise(measured)
+
+
+def canonical_members(texts: DataFrame) -> DataFrame:
+    """(k1, k2, form) of the texts (one string column, no nulls): k1, k2 hash the mapped text, form is the member its class is written as.
+
+    A mapped value hands on its plainest text only, so that copies and variants meet before the classes are shuffled.
+    """
+    (column,) = texts.columns
+    t = F.col(f"`{column}`")
+    keyed = texts.select(t.alias("t"), F.get(F.transform(F.array(by_look(t)), lambda m: F.struct(*look_key(m))), 0).alias("ks"))
+    values = keyed.groupBy("ks.k1", "ks.k2").agg(F.min(F.struct(oddity(F.col("t")).alias("o"), "t")).alias("best"))
+    classes = canonical_classes(values.select(by_look(F.col("best.t")).alias("m"))).select("k1", "k2", F.xxhash64("canonical").alias("c1"), F.xxhash64(F.lit(1), "canonical").alias("c2"))
+    members = values.join(classes, ["k1", "k2"])
+    forms = members.groupBy("c1", "c2").agg(F.min("best").alias("best")).select("c1", "c2", F.col("best.t").alias("form"))
+    return classes.join(forms, ["c1", "c2"]).select("k1", "k2", "form")
+
+
 def canonical_form(df: DataFrame, column: str, out: str = "canonical") -> DataFrame:
-    """df with one more column, the consistent form of `column`; its rows are kept, with their number. A column named `out` is replaced."""
+    """df with one more column, the consistent form of `column`, which is one of its values; its rows are kept, with their number. A column
+    named `out` is replaced."""
     own = {n: n for n in ("_k1", "_k2", "_q1", "_q2", "_form")}
     while set(own.values()) & set(df.columns):
         own = {n: "_" + x for n, x in own.items()}
     quoted = F.col(f"`{column}`")
-    classes = canonical_classes(df.where(quoted.isNotNull()).select(by_look(quoted).alias("m"))).withColumnsRenamed({"k1": own["_k1"], "k2": own["_k2"], "canonical": own["_form"]})
+    classes = canonical_members(df.where(quoted.isNotNull()).select(quoted)).withColumnsRenamed({"k1": own["_k1"], "k2": own["_k2"], "form": own["_form"]})
     keyed = df.withColumns(dict(zip((own["_q1"], own["_q2"]), look_key(by_look(quoted)))))
     joined = keyed.join(classes, (F.col(own["_q1"]) == F.col(own["_k1"])) & (F.col(own["_q2"]) == F.col(own["_k2"])), "left")
     form = F.when(quoted.isNotNull(), F.col(own["_form"]))

@@ -106,6 +106,14 @@ def _look_sql(x: str) -> str:
     return f"nfc_normalize({out})"
 
 
+def _odd_sql(x: str) -> str:
+    """DuckDB ORDER BY terms of lookalike.oddity()."""
+    other = "\\p{Cyrillic}\\p{Greek}\\p{Armenian}\\p{Cherokee}\\p{Coptic}\\p{Lisu}"
+    mixed = f"(\\p{{Latin}}[\\p{{L}}\\p{{M}}]*[{other}]|[{other}][\\p{{L}}\\p{{M}}]*\\p{{Latin}})"
+    odd = lookalike.odd_characters().replace(chr(0), "")
+    return f"len(regexp_extract_all({x}, '{mixed}')), length({x}) - length(translate({x}, {_quote(odd)}, '')), len(regexp_extract_all({x}, '\\p{{Mn}}')), {x}"
+
+
 def oracle_sql() -> dict[str, str]:
     stretch = "[\\s.!?;:,。！？；：、।؟]"
     once = "SELECT DISTINCT run_id, assertion_id, evaluator, slice_key, wall_ms, micros FROM eval_verdict"
@@ -123,6 +131,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT a.assertion_id, b.block_id FROM a JOIN doc d ON d.uri = a.doc
             JOIN block b ON b.doc_ord = d.doc_ord AND b.gen = d.gen AND b.page = a.page AND b.state = 0
             WHERE b.text <> a.q AND {_look_sql("b.text")} = {_look_sql("a.q")}""",
+        "p2_canonical": f"""
+            WITH t AS (SELECT text, {_look_sql("text")} AS m FROM (SELECT DISTINCT text FROM block WHERE text IS NOT NULL)),
+            f AS (SELECT m, text AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY {_odd_sql("text")}) AS r FROM t) WHERE r = 1)
+            SELECT b.block_id, f.canonical FROM block b LEFT JOIN t ON t.text = b.text LEFT JOIN f ON f.m = t.m""",
         "p3_found": """
             WITH u AS (SELECT f.model_key, f.segment_digest AS g, min(f.v) AS v FROM vfull f JOIN embed_space s ON s.model_key = f.model_key AND len(f.v) = s.dim
                        WHERE len(list_filter(f.v, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(f.v, lambda x: x <> 0)) > 0 GROUP BY ALL),

@@ -98,6 +98,14 @@ def test_canonical_form_against_brute_force(spark):
     assert sorted(map(sorted, by_form.values())) == sorted(map(sorted, by_got.values()))
 
 
+def test_canonical_form_is_a_member_in_its_own_script(spark):
+    texts = ["Через 174 дней", "Чepeз 174 дней", "Чер\u200bез 174 дней", "coco", "сосо", "𝐇ello", "Hello", "ᎪᏴᏟ", "Ⅻ", "XII", "e\u0301", "é"]
+    got = {r.t: r.canonical for r in lookalike.canonical_form(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()}
+    assert [got[t] for t in texts] == ["Через 174 дней"] * 3 + ["coco"] * 2 + ["Hello"] * 2 + ["ᎪᏴᏟ"] + ["XII"] * 2 + ["é"] * 2
+    lone = lookalike.canonical_form(spark.createDataFrame([("Чepeз",)], "t string"), "t").collect()
+    assert lone[0].canonical == "Чepeз"
+
+
 # 3. Nearest vectors
 
 
