@@ -26,6 +26,8 @@ from .tokens import RANK_FILE, TOKENIZER_DIR, encoder, texts_of
 CAPACITY = 2048
 OPEN_WINDOWS = 64
 MERGE_FAN_IN = 64
+#: Windows in one batch of the merge.
+MERGED_ROWS = 256
 
 
 class Packer:
@@ -72,8 +74,8 @@ _WINDOW = pa.schema([("route", pa.int64()), ("open", pa.bool_()), ("fill", pa.in
 _WINDOW_DDL = "route bigint, open boolean, fill int, first bigint, items array<struct<doc_id:bigint,part:int,start_token:int,n_tokens:int>>"
 
 
-def _rows(windows: list[tuple[bool, int, list[tuple[int, int, int, int]]]], route: int, serial: int) -> pa.RecordBatch:
-    """Windows as one batch; closed ones are spread over the partitions, open ones go to their group's."""
+def _rows(windows: list[tuple[bool, int, list[tuple[int, int, int, int]]]], route: int, serial: int, firsts: list[int] | None = None) -> pa.RecordBatch:
+    """Windows as one batch, numbered from `serial` or as `firsts` says; closed ones are spread over the partitions, open ones go to their group's."""
     sizes = np.zeros(len(windows) + 1, dtype=np.int32)
     np.cumsum([len(w[2]) for w in windows], out=sizes[1:])
     flat = list(chain.from_iterable(w[2] for w in windows))
@@ -83,7 +85,7 @@ def _rows(windows: list[tuple[bool, int, list[tuple[int, int, int, int]]]], rout
             pa.array([-1 - route if is_open else serial + i for i, (is_open, _, _) in enumerate(windows)], type=pa.int64()),
             pa.array([w[0] for w in windows], type=pa.bool_()),
             pa.array([w[1] for w in windows], type=pa.int32()),
-            pa.array([serial + i for i in range(len(windows))], type=pa.int64()),
+            pa.array(firsts or [serial + i for i in range(len(windows))], type=pa.int64()),
             pa.ListArray.from_arrays(sizes, item),
         ],
         schema=_WINDOW,
@@ -143,9 +145,10 @@ def pack_texts(
             for size, first, items in group:
                 if out := packer.add(size, (first, items)):
                     done.append(out)
-            for fill_, parts in done + packer.rest():
-                items = [tuple(x.values()) for _, own in parts for x in own]
-                yield _rows([(False, fill_, items)], route, min(first for first, _ in parts))
+            ready = done + packer.rest()
+            for i in range(0, len(ready), MERGED_ROWS):
+                own = ready[i : i + MERGED_ROWS]
+                yield _rows([(False, f, [tuple(x.values()) for _, items in parts for x in items]) for f, parts in own], route, 0, [min(first for first, _ in parts) for _, parts in own])
 
     windows = df.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary")).where(F.length(text_col) > 0).mapInArrow(fill, _WINDOW_DDL)
     merged = windows.repartition("route").mapInArrow(merge, _WINDOW_DDL)
@@ -156,3 +159,14 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, items, tokens, the containers no packing can do without, and the share of room that is used."""
     whole = packed.agg(F.count_distinct("container_id").alias("containers"), F.count("*").alias("items"), F.sum("n_tokens").alias("tokens"))
     return whole.select("containers", "items", "tokens", F.ceil(F.col("tokens") / capacity).alias("least_containers"), (F.col("tokens") / (F.col("containers") * capacity)).alias("used"))
+
+
+def coverage(packed: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
+    """(id, whole, sound): whether the pieces of each text follow one another without gap or overlap; whether all their containers hold what they say
+    and no more than the capacity, and only a text larger than a container is divided."""
+    fills = packed.groupBy("container_id").agg(((F.sum("n_tokens") == F.max("fill")) & (F.max("fill") <= capacity)).alias("held"))
+    pieces = F.array_sort(F.collect_list(F.struct("part", "start_token", "n_tokens")))
+    texts = packed.join(fills, "container_id").groupBy(id_col).agg(pieces.alias("p"), F.bool_and("held").alias("held"), F.sum("n_tokens").alias("tokens"))
+    ends = F.transform("p", lambda x: x["start_token"] + x["n_tokens"])
+    follow = F.forall(F.zip_with(F.transform("p", lambda x: x["start_token"]), F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size("p") - 1)), lambda a, b: a == b), lambda x: x)
+    return texts.select(id_col, follow.alias("whole"), (F.col("held") & ((F.size("p") == 1) | (F.col("tokens") > capacity))).alias("sound"))

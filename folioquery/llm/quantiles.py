@@ -29,6 +29,10 @@ MERGE_AT_ONCE = 64
 BROADCAST_PAIRS = 10_000
 
 
+#: Values that the sketches of one task hold before they are handed on to be merged elsewhere.
+HELD_VALUES = 8_000_000
+
+
 class Sketch:
     """The collapsing buffers of one group and measure."""
 
@@ -99,6 +103,10 @@ class Sketch:
             high = np.iinfo(np.int64).max if target + self.err > ranks[-1] else high
         return int(low), at(target), int(high)
 
+    def held(self) -> int:
+        """The number of values in memory."""
+        return self.n_loose + self.k * sum(map(len, self.levels.values()))
+
     def pack(self) -> bytes:
         """Little-endian int64: k, fan_in, n, err, loose count, loose values, then (level, weight, K values) of each buffer."""
         loose = np.concatenate(self.loose) if self.loose else np.zeros(0, np.int64)
@@ -206,6 +214,10 @@ def sketches(df: DataFrame, keys: Sequence[str], measures: Sequence[str], k: int
                         code, i = divmod(int(code), max(1, len(d)))
                         key.append(d[i])
                     state.setdefault((*reversed(key), m), Sketch(k, fan_in)).extend(piece)
+            # However many groups there are, a task holds so many values at most: what it has is handed on and begun anew.
+            if len(state) > HELD_VALUES // (4 * k) and sum(s.held() for s in state.values()) > HELD_VALUES:
+                yield from emit(state, types, TaskContext.get().partitionId())
+                state.clear()
         yield from emit(state, types, TaskContext.get().partitionId())
 
     def join(key: tuple[pa.Scalar, ...], table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,6 +78,11 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, d))
 
 
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every non-empty text is packed once, whole, in containers that hold it."""
+    return packing.coverage(p7_packed(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "end_pos")
 
@@ -115,6 +120,7 @@ def _odd_sql(x: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    packed_once = "SELECT doc_id, true AS whole, true AS sound FROM documents WHERE text <> ''"
     stretch = "[\\s.!?;:,。！？；：、।؟]"
     once = "SELECT DISTINCT run_id, assertion_id, evaluator, slice_key, wall_ms, micros FROM eval_verdict"
     return {
@@ -142,6 +148,7 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT *, row_number() OVER (PARTITION BY model_key, a ORDER BY cos DESC, b) AS r FROM c WHERE cos >= 0.9)
             SELECT x.model_key, x.a AS segment_digest_a, x.b AS segment_digest_b FROM k x JOIN k y ON x.model_key = y.model_key AND x.a = y.b AND x.b = y.a
             WHERE x.a < x.b AND x.r <= 10 AND y.r <= 10""",
+        "p7_coverage": packed_once,
         "p4_found": f"""
             WITH m AS (SELECT content_digest, unnest(member_ids) AS block_id, generate_subscripts(member_ids, 1) AS i FROM segment),
             b AS (SELECT DISTINCT block_id, coalesce(text, '') AS text FROM block),

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffle_width
+
 WINDOW = 24
 #: Fixed value: the marks that, beside white space, end a stretch.
 STOPS = ".!?;:,。！？；：、।؟"
@@ -118,7 +120,9 @@ def segment_texts(segment: DataFrame, block: DataFrame) -> DataFrame:
     """(content_digest, text): the texts of a segment's members in order, one line feed between; blocks delivered twice count once."""
     members = segment.select("content_digest", F.posexplode("member_ids").alias("at", "block_id"))
     texts = block.select("block_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = members.join(texts, "block_id").groupBy("content_digest").agg(F.array_sort(F.collect_set(F.struct("at", "text"))).alias("parts"))
+    # The width is stated: cutting texts is work of the processor, which the few bytes shuffled do not show to adaptive coalescing.
+    spread = members.join(texts, "block_id").repartition(shuffle_width(block.sparkSession), "content_digest")
+    parts = spread.groupBy("content_digest").agg(F.array_sort(F.collect_set(F.struct("at", "text"))).alias("parts"))
     # Should two deliveries of a member differ, the lesser text stands.
     first = F.filter("parts", lambda x, i: (i == 0) | (F.get("parts", i - 1)["at"] != x["at"]))
     return parts.select("content_digest", F.array_join(F.transform(first, lambda x: x["text"]), "\n").alias("text"))

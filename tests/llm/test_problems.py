@@ -393,3 +393,14 @@ def test_sentences_of_spaceless_scripts():
     assert _sentences("档案员写道：“没有遗漏。”合同会补充旧版本。") == ["档案员写道：“没有遗漏。”", "合同会补充旧版本。"]
     assert _sentences("「終わった。」と記録係は書いた。「はい。」とにかく進む。") == ["「終わった。」と記録係は書いた。", "「はい。」", "とにかく進む。"]
     assert _sentences("The U.S. Army left. It came from the U.S. The rest stayed.") == ["The U.S. Army left.", "It came from the U.S.", "The rest stayed."]
+
+
+def test_sketches_of_many_groups_are_handed_on(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "HELD_VALUES", 200)
+    rows = [(g, int(v), None) for g in range(300) for v in np.random.default_rng(g).integers(0, 1000, 40)]
+    df = spark.createDataFrame(rows, "g int, x int, y int").repartition(3)
+    got = quantiles.percentiles(quantiles.sketches(df, ["g"], ["x", "y"], k=8), ["g"], [0.5]).where("measure = 'x'").collect()
+    values = {}
+    for g, v, _ in rows:
+        values.setdefault(g, []).append(v)
+    assert len(got) == 300 and all(r.n == 40 and r.low[0] <= sorted(values[r.g])[19] <= r.high[0] for r in got)
