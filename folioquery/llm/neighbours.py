@@ -2,9 +2,10 @@
 
 Per model, vectors are projected on the leading principal axes of a bounded sample; each curve turns these by a rotation of its own,
 maps eight coordinates to even quantiles, shifts them and takes the Hilbert key. Rows are range-partitioned by (model, curve,
-key); a window of WINDOW neighbours in key order on either side is compared exactly with each row; the results of all curves merge
-and are ranked by the exact cosine. Only the axes, quantiles and range bounds come from the sample (SAMPLE_ROWS a model, chosen by
-hash); every row is indexed.
+key), each range with a halo of its neighbours' nearest rows, so that the window of WINDOW rows in key order on either side is whole at a
+range's ends too. Within a window rows are compared by vectors coded as a byte a dimension, which is what is shuffled; the lists
+of all curves merge by number, and what the coding cannot tell apart goes on to the exact rerank, a join to the stored
+vectors. Only the axes, quantiles and range bounds come from the sample (SAMPLE_ROWS a model, chosen by hash); every row is indexed.
 
 Exact copies of a vector are one class: the curve holds it once, with its k + 1 least digests, which are all that can be among the
 k most similar of any row (ties go to the lesser digest).
@@ -22,8 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from ..session import cut
+from ..session import cut, store
 
 TOP = 10
 CURVES = 10
@@ -65,13 +67,13 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """The fitted curves of one model."""
+    """The fitted curves of one model. A range is extended at either end by a halo of about `halo` rows, by the sample's quantiles."""
 
-    def __init__(self, sample: np.ndarray, rows: int, curves: int, first_range: int) -> None:
+    def __init__(self, sample: np.ndarray, rows: int, curves: int, first_range: int, halo: int) -> None:
         self.mean = sample.mean(axis=0)
         axes = np.linalg.svd(sample - self.mean, full_matrices=False)[2][:AXES]
         rng = np.random.default_rng(SEED)
-        self.maps, self.grids, self.shifts, self.bounds, self.first = [], [], [], [], []
+        self.maps, self.grids, self.shifts, self.bounds, self.halos, self.first = [], [], [], [], [], []
         ranges = max(1, -(-rows // ROWS_PER_RANGE))
         for _ in range(curves):
             turn = np.linalg.qr(rng.normal(size=(len(axes), len(axes))))[0]
@@ -81,7 +83,11 @@ class Curves:
             self.first.append(first_range)
             first_range += ranges
             keys = np.sort(self.keys(sample, len(self.bounds)))
-            self.bounds.append(keys[[len(keys) * i // ranges for i in range(1, ranges)]])
+            at = np.array([len(keys) * i / ranges for i in range(1, ranges)])
+            place = np.arange(len(keys))
+            self.bounds.append(np.interp(at, place, keys).astype(np.int64))
+            wide = halo * len(keys) / max(rows, 1)
+            self.halos.append((np.interp(at - wide, place, keys).astype(np.int64), np.interp(at + wide, place, keys).astype(np.int64)))
         self.end = first_range
 
     def keys(self, x: np.ndarray, curve: int) -> np.ndarray:
@@ -91,6 +97,20 @@ class Curves:
         cells = ((u + self.shifts[curve]) / 2 * (1 << BITS)).astype(np.int64)
         return hilbert_keys(np.minimum(cells, (1 << BITS) - 1), BITS)
 
+    def places(self, keys: np.ndarray, curve: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, range, in the halo) of keys on a curve: each row in its own range, and in the halo of the next ones near a bound."""
+        own = np.searchsorted(self.bounds[curve], keys, side="right")
+        low, high = self.halos[curve]
+        # A key from `low` of a bound on is seen by the range above it, one below `high` by the range under it.
+        up, down = np.searchsorted(low, keys, side="right"), np.searchsorted(high, keys, side="right")
+        rows, ranges, halo = [np.arange(len(keys))], [own], [np.zeros(len(keys), bool)]
+        for near in (np.minimum(up, own + 1), np.maximum(down, own - 1)):
+            other = np.flatnonzero(near != own)
+            rows.append(other)
+            ranges.append(near[other])
+            halo.append(np.ones(len(other), bool))
+        return np.concatenate(rows), self.first[curve] + np.concatenate(ranges), np.concatenate(halo)
+
 
 def unit_rows(column: pa.Array) -> np.ndarray:
     """Vectors of one length as float32 rows of length one."""
@@ -114,90 +134,177 @@ def copy_classes(clean: DataFrame, top: int) -> DataFrame:
     return named.select("model_key", "rep", F.col("digest").alias("member"), F.when(F.col("at") == 1, F.col("v")).alias("v"))
 
 
-def fit(reps: DataFrame, curves: int) -> tuple[dict[str, Curves], int]:
-    """The curves of each model and the number of ranges, from a sample of bounded size."""
+def numbered(classes: DataFrame) -> DataFrame:
+    """The representatives with a number each, (model_key, rep, n, v), written once: what is shuffled later carries eight bytes, not digests."""
+    return store(classes.where("v IS NOT NULL").select("model_key", "rep", F.monotonically_increasing_id().alias("n"), "v"))
+
+
+def fit(reps: DataFrame, curves: int, halo: int) -> tuple[dict[str, Curves], int]:
+    """The curves of each model and the number of ranges, from a sample of bounded size: one job for counts, one for all samples."""
     counts = {r["model_key"]: r["n"] for r in reps.groupBy("model_key").agg(F.count("*").alias("n")).collect()}  # a row a model
+    if not counts:
+        return {}, 1
+    share = F.create_map(*[F.lit(x) for m, n in counts.items() for x in (m, int(1_000_000 * min(1.0, SAMPLE_ROWS / n)) + 1)])
+    chosen = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < F.element_at(share, F.col("model_key")))
+    sample = chosen.select("model_key", "v").limit(2 * SAMPLE_ROWS * len(counts)).toArrow()
     out, at = {}, 0
     for model in sorted(counts):
-        share = min(1.0, SAMPLE_ROWS / counts[model])
-        chosen = reps.where((F.col("model_key") == model) & (F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * share) + 1))
-        sample = unit_rows(chosen.select("v").limit(2 * SAMPLE_ROWS).toArrow().column(0).combine_chunks())
-        out[model] = Curves(sample if len(sample) else np.zeros((1, 1), np.float32), counts[model], curves, at)
+        own = sample.filter(pc.equal(sample.column(0), model)).column(1).combine_chunks()
+        out[model] = Curves(unit_rows(own) if len(own) else np.zeros((1, 1), np.float32), counts[model], curves, at, halo)
         at = out[model].end
     return out, max(1, at)
 
 
-def curve_pairs(reps: DataFrame, top: int, curves: int, window: int, least: float) -> DataFrame:
-    """(model_key, a, b, cos): for every class a, the best `top` classes b of its windows on all curves with cosine >= least; each pair once."""
-    fitted, ranges = fit(reps, curves)
-    keyed_ddl = "model_key string, rep string, v array<float>, curve int, range int, key bigint"
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as one signed byte a dimension and a scale each."""
+    scale = np.abs(x).max(axis=1) / 127
+    return np.rint(x / scale[:, None]).astype(np.int8), scale.astype(np.float32)
+
+
+#: A cosine of coded vectors differs from the exact one by less; rows within it of the last place kept are kept as well.
+CODE_ERROR = 0.004
+_KEYED = "id bigint, scale float, code binary, model int, range int, key bigint, halo boolean"
+
+
+def keyed_rows(reps: DataFrame, fitted: dict[str, Curves], models: list[str], curves: int) -> DataFrame:
+    """Each numbered representative on every curve, its vector as coded bytes."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for model in batch.column(0).unique().to_pylist():
                 own = batch.filter(pc.equal(batch.column(0), model))
                 x, m = unit_rows(own.column(2)), fitted[model]
+                code, scale = coded(x)
+                binary = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, code.size + 1, x.shape[1], dtype=np.int32)), pa.py_buffer(code)])
                 for c in range(curves):
                     keys = m.keys(x, c)
-                    ranged = m.first[c] + np.searchsorted(m.bounds[c], keys, side="right")
-                    flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), flat, pa.array(np.full(len(x), c, np.int32)), pa.array(ranged.astype(np.int32)), pa.array(keys)], names=["model_key", "rep", "v", "curve", "range", "key"])
+                    row, ranged, halo = m.places(keys, c)
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([own.column(1).take(take), pa.array(scale[row]), binary.take(take), pa.array(np.full(len(row), models.index(model), np.int32)), pa.array(ranged.astype(np.int32)), pa.array(keys[row]), pa.array(halo)], names=["id", "scale", "code", "model", "range", "key", "halo"])
+
+    return reps.select("model_key", "n", "v").mapInArrow(key, _KEYED)
+
+
+def window_lists(keyed: DataFrame, ranges: int, top: int, window: int, least: float) -> DataFrame:
+    """(a, near ARRAY<STRUCT<c FLOAT, b BIGINT>>): for every row of every curve its best `top` of the window on either side, by coded vectors, and
+    those that the coding cannot tell from the last of them; each row of a range is one row of the result, however many it has found."""
+    slack = 2 * CODE_ERROR
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in key order; at most the window around a block is held."""
-        model, curve, names, x, done = None, None, None, None, 0
+        """Rows come in key order by range; at most the window around a block is held."""
+        here, ids, halo, x, done = None, None, None, None, 0
 
-        def block(until: int) -> pa.RecordBatch:
+        def block(until: int) -> pa.RecordBatch | None:
             low, high = max(0, done - window), min(len(x), until + window)
-            s = x[done:until] @ x[low:high].T
-            s[np.arange(until - done), np.arange(done, until) - low] = -2
-            if least > -1:
-                i, j = np.nonzero(s >= least)
-                if len(i) and np.bincount(i).max() > top:
-                    order = np.lexsort((-s[i, j], i))
-                    i, j = i[order], j[order]
-                    starts = np.searchsorted(i, i)
-                    keep = np.arange(len(i)) - starts < top
-                    i, j = i[keep], j[keep]
-            else:
-                k = min(top, high - low - 1)
-                j = np.argpartition(-s, k - 1, axis=1)[:, :k].ravel() if k > 0 else np.zeros(0, int)
-                i = np.repeat(np.arange(until - done), max(k, 0))
-            # The float64 product of the chosen rows does not depend on where a block begins.
-            exact = np.einsum("ij,ij->i", x[done + i].astype(np.float64), x[low + j].astype(np.float64))
-            a, b = names.take(pa.array(done + i)), names.take(pa.array(low + j))
-            return pa.RecordBatch.from_arrays([pa.array([model] * len(i), pa.string()), a, b, pa.array(exact)], names=["model_key", "a", "b", "cos"])
-
-        def drain() -> Iterator[pa.RecordBatch]:
+            mine = done + np.flatnonzero(~halo[done:until])
+            if not len(mine) or high - low < 2:
+                return None
+            s = x[mine] @ x[low:high].T
+            s[np.arange(len(mine)), mine - low] = -2
+            k = min(top, s.shape[1])
+            last = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            i, j = np.nonzero(s >= np.maximum(last - slack if least > -1 else last, least - CODE_ERROR)[:, None])
+            keep = s[i, j] > -2
+            i, j = i[keep], j[keep]
+            near = pa.StructArray.from_arrays([pa.array(s[i, j].astype(np.float32)), pa.array(ids[low + j])], names=["c", "b"])
+            sizes = np.searchsorted(i, np.arange(len(mine) + 1)).astype(np.int32)
+            full = np.diff(sizes) > 0
+            return pa.RecordBatch.from_arrays([pa.array(ids[mine]), pa.ListArray.from_arrays(sizes, near)], names=["a", "near"]).filter(pa.array(full))
+
+        def drain(until: int) -> Iterator[pa.RecordBatch]:
             nonlocal done
-            while x is not None and done < len(x):
-                until = min(len(x), done + BLOCK)
-                yield block(until)
-                done = until
+            while x is not None and done < until:
+                end = min(until, done + BLOCK)
+                out = block(end)
+                if out is not None and out.num_rows:
+                    yield out
+                done = end
 
         for batch in batches:
-            models, cs = batch.column(0), batch.column(3).to_numpy()
-            codes = models.dictionary_encode().indices.to_numpy().astype(np.int64) * (curves + 1) + cs
-            for at, end in zip(np.r_[0, np.flatnonzero(np.diff(codes)) + 1], np.r_[np.flatnonzero(np.diff(codes)) + 1, len(codes)]) if len(codes) else []:
+            place = batch.column(4).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(place)) + 1, len(place)]
+            for at, end in zip(cuts[:-1], cuts[1:]) if len(place) else []:
                 part = batch.slice(at, end - at)
-                here = (part.column(0)[0].as_py(), int(cs[at]))
-                v = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
-                if here != (model, curve):
-                    yield from drain()
-                    (model, curve), names, x, done = here, part.column(1), v, 0
+                code = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.int8).reshape(len(part), -1)
+                v = code.astype(np.float32) * part.column(1).to_numpy()[:, None]
+                n, h = part.column(0).to_numpy(), part.column(6).to_numpy(zero_copy_only=False).astype(bool)
+                if here != int(place[at]):
+                    if x is not None:
+                        yield from drain(len(x))
+                    here, ids, halo, x, done = int(place[at]), n, h, v, 0
                 else:
-                    names, x = pa.concat_arrays([names, part.column(1)]), np.concatenate([x, v])
+                    ids, halo, x = np.concatenate([ids, n]), np.concatenate([halo, h]), np.concatenate([x, v])
                 while len(x) >= done + BLOCK + window:
-                    yield block(done + BLOCK)
-                    done += BLOCK
+                    yield from drain(done + BLOCK)
                 if done > window + 16 * BLOCK:
                     gone = done - window
-                    names, x, done = pa.concat_arrays([names.slice(gone)]), x[gone:].copy(), window
-        yield from drain()
+                    ids, halo, x, done = ids[gone:].copy(), halo[gone:].copy(), x[gone:].copy(), window
+        if x is not None:
+            yield from drain(len(x))
+
+    ordered = keyed.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "key", "id")
+    return ordered.mapInArrow(compare, "a bigint, near array<struct<c:float,b:bigint>>")
+
+
+def merged_lists(lists: DataFrame, top: int) -> DataFrame:
+    """(a, near): the lists of all curves as one, each neighbour once, the best by coded cosine and those within the coding's error of the last place."""
+    slack = 2 * CODE_ERROR
 
-    keyed = reps.select("model_key", "rep", "v").mapInArrow(key, keyed_ddl).repartitionById(ranges, F.col("range"))
-    pairs = keyed.sortWithinPartitions("model_key", "curve", "key", "rep").select("model_key", "rep", "v", "curve").mapInArrow(compare, "model_key string, a string, b string, cos double")
-    return pairs.groupBy("model_key", "a", "b").agg(F.max("cos").alias("cos"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            lists = batch.column(1)
+            flat = lists.flatten()
+            sizes = np.diff(lists.offsets.to_numpy())
+            i = np.repeat(np.arange(len(rows)), sizes)
+            c, b = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            order = np.lexsort((-c, b, i))
+            i, c, b = i[order], c[order], b[order]
+            first = np.ones(len(i), bool)
+            first[1:] = (i[1:] != i[:-1]) | (b[1:] != b[:-1])
+            i, c, b = i[first], c[first], b[first]
+            order = np.lexsort((b, -c, i))
+            i, c, b = i[order], c[order], b[order]
+            start = np.searchsorted(i, np.arange(len(rows)))
+            count = np.searchsorted(i, np.arange(len(rows)), side="right") - start
+            last = np.where(count > top, c[np.minimum(start + top - 1, max(len(c) - 1, 0))], -2) if len(c) else np.zeros(len(rows))
+            keep = c >= last[i] - slack
+            i, c, b = i[keep], c[keep], b[keep]
+            near = pa.StructArray.from_arrays([pa.array(c), pa.array(b)], names=["c", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.searchsorted(i, np.arange(len(rows) + 1)).astype(np.int32), near)], names=["a", "near"])
+
+    gathered = lists.groupBy("a").agg(F.flatten(F.collect_list("near")).alias("near"))  # a list a curve
+    return gathered.mapInArrow(merge, "a bigint, near array<struct<c:float,b:bigint>>")
+
+
+@F.arrow_udf(DoubleType())
+def exact_cosine(left: pa.Array, right: pa.Array) -> pa.Array:
+    """The cosine of unit rows in float64: the same for a pair whichever side it is asked from."""
+    out = np.empty(len(left))
+    lengths = np.asarray(pc.list_value_length(left).to_numpy(zero_copy_only=False))
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        take = pa.array(at)
+        out[at] = np.einsum("ij,ij->i", *(unit_rows(x.take(take)).astype(np.float64) for x in (left, right)))
+    return pa.array(out)
+
+
+def exact_pairs(reps: DataFrame, lists: DataFrame) -> DataFrame:
+    """(model_key, a, b, cos): the listed pairs, named by their representatives, with the exact cosine, from either side listed; a vector
+    travels once for each pair, which is computed once for both directions."""
+    pairs = lists.select("a", F.explode("near.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = reps.select("model_key", F.col("n").alias("a"), F.col("rep").alias("rep_a"), F.col("v").alias("v_a"))
+    right = reps.select(F.col("n").alias("b"), F.col("rep").alias("rep_b"), F.col("v").alias("v_b"))
+    return pairs.join(left, "a").join(right, "b").select("model_key", F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), exact_cosine("v_a", "v_b").alias("cos"))
+
+
+def curve_pairs(reps: DataFrame, top: int, curves: int, window: int, least: float) -> DataFrame:
+    """(model_key, a, b, cos) in both directions: for every class a, at least its best `top` classes b of its windows on all curves with
+    cosine >= least, with the exact cosine. reps as numbered() gives them."""
+    fitted, ranges = fit(reps, curves, window)
+    lists = merged_lists(window_lists(keyed_rows(reps, fitted, sorted(fitted), curves), ranges, top, window, least), top)
+    once = exact_pairs(reps, lists)
+    return once.unionByName(once.select("model_key", F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
 
 
 def member_lists(pairs: DataFrame, classes: DataFrame, top: int) -> DataFrame:
@@ -214,7 +321,7 @@ def neighbours(vectors: DataFrame, space: DataFrame, top: int = TOP, curves: int
     """(model_key, segment_digest, neighbour, cos, rank): the `top` most similar of every usable vector."""
     clean = cut(clean_vectors(vectors, space))
     classes = cut(copy_classes(clean, top))
-    lists = member_lists(curve_pairs(classes.where("v IS NOT NULL").select("model_key", "rep", "v"), top, curves, window, -1.0), classes, top)
+    lists = member_lists(curve_pairs(numbered(classes), top, curves, window, -1.0), classes, top)
     per_class = lists.groupBy("model_key", "a").agg(F.array_sort(F.collect_list(F.struct("at", "b", "cos"))).alias("l"))
     # Every member of a class, the ones beyond its least digests too, has the list of the class without itself.
     first = classes.where("v IS NOT NULL").select("model_key", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), F.col("rep").alias("a"))
@@ -230,7 +337,7 @@ def mutual_pairs(vectors: DataFrame, space: DataFrame, least: float, top: int =
     copies only the top + 1 least digests can be in a mutual pair: the lists of the others are full of those, which do not return it.
     """
     classes = cut(copy_classes(clean_vectors(vectors, space), top))
-    pairs = curve_pairs(classes.where("v IS NOT NULL").select("model_key", "rep", "v"), top, curves, window, least - 1e-4).where(F.col("cos") >= least - 1e-7)
+    pairs = curve_pairs(numbered(classes), top, curves, window, least - 1e-4).where(F.col("cos") >= least - 1e-7)
     lists = member_lists(pairs, classes, top)
     lone = classes.groupBy("model_key", F.col("rep").alias("a")).agg(F.collect_set("member").alias("members"))
     directed = lists.join(lone, ["model_key", "a"]).select("model_key", F.explode("members").alias("x"), "b", "at").where("x <> b")
