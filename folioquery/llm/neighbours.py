@@ -289,22 +289,24 @@ def exact_cosine(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
-def exact_pairs(reps: DataFrame, lists: DataFrame) -> DataFrame:
-    """(model_key, a, b, cos): the listed pairs, named by their representatives, with the exact cosine, from either side listed; a vector
-    travels once for each pair, which is computed once for both directions."""
-    pairs = lists.select("a", F.explode("near.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = reps.select("model_key", F.col("n").alias("a"), F.col("rep").alias("rep_a"), F.col("v").alias("v_a"))
-    right = reps.select(F.col("n").alias("b"), F.col("rep").alias("rep_b"), F.col("v").alias("v_b"))
-    return pairs.join(left, "a").join(right, "b").select("model_key", F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), exact_cosine("v_a", "v_b").alias("cos"))
-
-
-def curve_pairs(reps: DataFrame, top: int, curves: int, window: int, least: float) -> DataFrame:
+def exact_pairs(reps: DataFrame, lists: DataFrame, both: bool) -> DataFrame:
+    """(model_key, a, b, cos) in both directions: the listed pairs, named by their representatives, with the exact cosine, which is computed once
+    a pair. both: only pairs that stand in the lists of both sides."""
+    listed = lists.select("a", F.explode("near.b").alias("b")).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("sides"))
+    pairs = listed.where("sides = 2" if both else "sides > 0").select("a", "b")
+    left = reps.select(F.col("n").alias("a"), F.col("rep").alias("rep_a"), F.col("v").alias("v_a"))
+    right = reps.select("model_key", F.col("n").alias("b"), F.col("rep").alias("rep_b"), F.col("v").alias("v_b"))
+    met = pairs.join(left, "a").join(right, "b").select("model_key", "rep_a", "rep_b", exact_cosine("v_a", "v_b").alias("cos"))
+    directions = F.explode(F.array(F.struct(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), F.struct(F.col("rep_b").alias("a"), F.col("rep_a").alias("b"))))
+    return met.select("model_key", "cos", directions.alias("p")).select("model_key", "p.a", "p.b", "cos")
+
+
+def curve_pairs(reps: DataFrame, top: int, curves: int, window: int, least: float, both: bool = False) -> DataFrame:
     """(model_key, a, b, cos) in both directions: for every class a, at least its best `top` classes b of its windows on all curves with
-    cosine >= least, with the exact cosine. reps as numbered() gives them."""
+    cosine >= least, with the exact cosine; both: only if a is in b's list too. reps as numbered() gives them."""
     fitted, ranges = fit(reps, curves, window)
     lists = merged_lists(window_lists(keyed_rows(reps, fitted, sorted(fitted), curves), ranges, top, window, least), top)
-    once = exact_pairs(reps, lists)
-    return once.unionByName(once.select("model_key", F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
+    return exact_pairs(reps, lists, both)
 
 
 def member_lists(pairs: DataFrame, classes: DataFrame, top: int) -> DataFrame:
@@ -337,7 +339,7 @@ def mutual_pairs(vectors: DataFrame, space: DataFrame, least: float, top: int =
     copies only the top + 1 least digests can be in a mutual pair: the lists of the others are full of those, which do not return it.
     """
     classes = cut(copy_classes(clean_vectors(vectors, space), top))
-    pairs = curve_pairs(numbered(classes), top, curves, window, least - 1e-4).where(F.col("cos") >= least - 1e-7)
+    pairs = curve_pairs(numbered(classes), top, curves, window, least - 1e-4, both=True).where(F.col("cos") >= least - 1e-7)
     lists = member_lists(pairs, classes, top)
     lone = classes.groupBy("model_key", F.col("rep").alias("a")).agg(F.collect_set("member").alias("members"))
     directed = lists.join(lone, ["model_key", "a"]).select("model_key", F.explode("members").alias("x"), "b", "at").where("x <> b")
