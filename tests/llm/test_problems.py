@@ -404,3 +404,65 @@ def test_sketches_of_many_groups_are_handed_on(spark, monkeypatch):
     for g, v, _ in rows:
         values.setdefault(g, []).append(v)
     assert len(got) == 300 and all(r.n == 40 and r.low[0] <= sorted(values[r.g])[19] <= r.high[0] for r in got)
+
+
+def _read(text, counts):
+    """The readings of a text over a vocabulary, as the operator finds them, without Spark."""
+    total, longest = sum(counts.values()), max(map(len, counts))
+    stream = ocr.words_of(text)
+    readings = {}
+    for t in set(stream) - {""}:
+        low = t.casefold()
+        if ocr.JOINT not in t and low in counts:
+            continue
+        forms = [(low, None)] if ocr.JOINT not in t else [(low.replace(ocr.JOINT, ""), True), (low.replace(ocr.JOINT, "-"), False)]
+        found = [(w, n, ocr.confusions_between(w, f), j) for f, j in forms for w, n in counts.items()]
+        readings[t] = [{"word": w, "n": n, "cost": c, "joined": j} for w, n, c, j in found if c is not None and (c == 0 or n >= ocr.LEAST_SUPPORT)]
+    out = []
+    for w in ocr.open_windows(stream, readings):
+        known = {f: counts[f] for f in ocr.window_forms(w, readings, longest) if f in counts}
+        out += ocr.best_readings(w, readings, known, total)
+    return out
+
+
+def test_lattice_of_a_stream():
+    counts = {"the": 6000, "a": 5000, "house": 900, "is": 4000, "register": 500, "old": 300, "archive": 200, "well": 50, "known": 50, "well-known": 40, "plan": 20, "sterling": 5, "in": 3000}
+    assert _read("the ahouse is old", counts) == [("ahouse", "a house", False, False)]
+    assert _read("the houseis old", counts) == [("houseis", "house is", False, False)]
+    assert _read("the hou se is old", counts) == [("hou se", "house", False, False)]
+    assert _read("the regi ster is old", counts) == [("regi ster", "register", False, False)]
+    assert _read("thc archlve", counts) == [("thc", "the", True, False), ("archlve", "archive", True, False)]
+    assert _read("the regis-\nter is well-\nknown", counts) == [(f"regis{ocr.JOINT}ter", "register", False, True), (f"well{ocr.JOINT}known", "well-known", False, False)]
+    # Names and words of an unknown kind stay: their parts are too rare to meet by chance.
+    assert _read("the archiveplan of covid19, Win95, utf8mb4, area51 and e55b7cce1c1f", counts) == []
+    assert _read("in 2O24 the archive", counts) == [("2O24", "2024", True, False)]
+    assert [w for w in ocr.words_of("one, two three-four 5 six")] == ["one", "", "two", "three", "", "four", "", "six"]
+
+
+def test_running_line_of_any_length(spark):
+    running = "Minutes of the standing committee on the retention of records, their transfer to the archive and the yearly report about both of these"
+    assert len(running) > 130
+    rows = [(p, 1, 1, p, 1, f"{running}   {p + 1}\nThe text of page number {p} ends here.", "ocr_page", 0) for p in range(4)]
+    block = spark.createDataFrame(rows, "block_id bigint, doc_ord bigint, gen int, page int, ord int, text string, method string, state int")
+    doc = spark.createDataFrame([(1, 1)], "doc_ord bigint, gen int")
+    got = set(map(tuple, ocr.noise(block, doc).collect()))
+    assert got == {(p, k) for p in range(4) for k in ("header", "page_number")}
+
+
+def test_paragraphs_of_many_lines_against_all_breaks():
+    rng = random.Random(3)
+    for _ in range(60):
+        lines = ["".join(rng.choice("aB. ") for _ in range(rng.randint(1, 8))).strip() or "x" for _ in range(rng.randint(1, 8))]
+        width = max(map(len, lines))
+
+        def price(breaks):
+            cost, starts = 0.0, [0, *sorted(breaks), len(lines)]
+            for i in range(1, len(lines)):
+                before, after = lines[i - 1], lines[i]
+                ended, short, lower = before.rstrip("\"'”’»)")[-1:] in ".!?:…", len(before) < 0.75 * width, after[:1].islower()
+                cost += ((0.5 if ended and short else 1.6 if ended else 3.0) + (2.0 if lower else 0.0)) if i in breaks else 1.2 if ended and short and not lower else 0.2
+            return cost + sum(0.4 for a, b in zip(starts, starts[1:]) if b - a == 1 and len(lines[a]) < 0.5 * width)
+
+        least = min(price({i + 1 for i in range(len(lines) - 1) if m >> i & 1}) for m in range(1 << len(lines) - 1))
+        assert abs(price(set(ocr.paragraph_breaks(lines))) - least) < 1e-9
+    assert len(ocr.paragraph_breaks(["One short line that goes on and on"] * 2000)) == 0
