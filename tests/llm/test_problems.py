@@ -408,21 +408,21 @@ def test_sketches_of_many_groups_are_handed_on(spark, monkeypatch):
 
 def _read(text, counts):
     """The readings of a text over a vocabulary, as the operator finds them, without Spark."""
-    total, longest = sum(counts.values()), max(map(len, counts))
-    stream = ocr.words_of(text)
-    readings = {}
+    total = sum(counts.values())
+    stream, best = ocr.words_of(text), {}
     for t in set(stream) - {""}:
         low = t.casefold()
         if ocr.JOINT not in t and low in counts:
             continue
         forms = [(low, None)] if ocr.JOINT not in t else [(low.replace(ocr.JOINT, ""), True), (low.replace(ocr.JOINT, "-"), False)]
         found = [(w, n, ocr.confusions_between(w, f), j) for f, j in forms for w, n in counts.items()]
-        readings[t] = [{"word": w, "n": n, "cost": c, "joined": j} for w, n, c, j in found if c is not None and (c == 0 or n >= ocr.LEAST_SUPPORT)]
-    out = []
-    for w in ocr.open_windows(stream, readings):
-        known = {f: counts[f] for f in ocr.window_forms(w, readings, longest) if f in counts}
-        out += ocr.best_readings(w, readings, known, total)
-    return out
+        readings = [{"word": w, "n": n, "cost": c, "joined": j} for w, n, c, j in found if c is not None and (c == 0 or n >= ocr.LEAST_SUPPORT)]
+        pairs = [(counts[low[:i]] * counts[low[i:]], f"{low[:i]} {low[i:]}") for i in range(1, len(low)) if t.isalpha() and low[:i] in counts and low[i:] in counts]
+        n, split = max([p for p in pairs if p[0] > math.e * total], default=(None, None))
+        best[t] = min(ocr.token_edges(t, readings, split, n, total), key=lambda e: e[0])
+    merged = [m for w in ocr.open_windows(stream, {t for t in best if ocr.JOINT not in t}) for m in ocr.merged_words(w, {t: e[0] for t, e in best.items()}, counts, total)]
+    gone = {w for m in merged for w in m.split()}
+    return [(m, m.replace(" ", "").casefold(), False, False) for m in merged] + [(t, *best[t][1:4]) for t in dict.fromkeys(stream) if t in best and t not in gone and best[t][1]]
 
 
 def test_lattice_of_a_stream():
