@@ -127,14 +127,15 @@ def least_diffs(needle: pa.Array, text: pa.Array) -> pa.Array:
 
 
 def signature(vector: Column) -> Column:
-    """One sign bit per dimension of the first 64, as a BIGINT."""
-    bits = F.transform(F.slice(vector, 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    """One sign bit per dimension, sixty-four to a BIGINT, as an ARRAY<BIGINT>; every dimension counts."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(vector), F.lit(1)), F.lit(64))
+    bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+    return F.transform(starts, lambda s: F.aggregate(F.transform(F.slice(vector, s, F.lit(64)), bit), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)))
 
 
 def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two signatures."""
-    return F.bit_count(a.bitwiseXOR(b))
+    """Differing bits of two signatures of the same width."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def dot(a: Column, b: Column) -> Column:

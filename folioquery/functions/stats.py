@@ -53,9 +53,37 @@ def isotonic(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return means.groupBy(key).applyInArrow(fit, f"`{key}` {kinds[key]}, `{x}` {kinds[x]}, n bigint, fitted double")
 
 
-def sign_flip_p(mean: float, squares: float) -> float:
-    """Two-sided p of the closed form of the paired sign-flip test: sum of differences against the root of their squares."""
-    return 1.0 if squares <= 0 else erfc(abs(mean) / sqrt(squares) / sqrt(2))
+#: Below this many pairs the test is exact, below that it is resampled; how often, and what counts as a tie.
+EXACT_BELOW, CLOSED_FORM_FROM, RESAMPLES, TIE = 20, 200, 9_999, 1e-12
+
+
+def sign_flip_p(differences: list[float], seed: str) -> float | None:
+    """Two-sided p of the paired sign-flip test: of all signs, of RESAMPLES drawn ones, or by the closed form; null without pairs."""
+    import hashlib
+
+    import numpy as np
+
+    x = np.asarray(differences, dtype=np.float64)
+    n, total = len(x), abs(float(x.sum())) if len(x) else 0.0
+    if not n:
+        return None
+    least = total - TIE * float(np.abs(x).sum())
+    if n < EXACT_BELOW:
+        sums = np.zeros(1)
+        for v in x:
+            sums = np.concatenate([sums + v, sums - v])
+        return float(np.mean(np.abs(sums) >= least))
+    if n < CLOSED_FORM_FROM:
+        rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(seed.encode()).digest()[:8], "big"))
+        signs = rng.integers(0, 2, size=(RESAMPLES, n)) * 2 - 1
+        return float((1 + np.sum(np.abs(signs @ x) >= least)) / (RESAMPLES + 1))
+    squares = float((x * x).sum())
+    return 1.0 if squares <= 0 else erfc(total / sqrt(squares) / sqrt(2))
+
+
+@F.arrow_udf(DoubleType())
+def _small_p(differences: pa.Array, seed: pa.Array) -> pa.Array:
+    return pa.array([None if d is None else sign_flip_p(d, s or "") for d, s in zip(differences.to_pylist(), seed.to_pylist())], type=pa.float64())
 
 
 @F.arrow_udf(DoubleType())
@@ -64,6 +92,10 @@ def _erfc(column: pa.Array) -> pa.Array:
 
 
 def sign_flip(df: DataFrame, key: str, difference: str) -> DataFrame:
-    """(key, n, mean, p) of paired differences by the closed form (for n of 200 and more); the sums are pushed below the shuffle."""
+    """(key, n, mean, p) of paired differences. Groups of CLOSED_FORM_FROM pairs and more need their sums only, which are pushed below the
+    shuffle; of smaller ones the differences themselves are gathered, fewer than that many a group."""
     sums = df.where(F.col(difference).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.sum(difference).alias("s"), F.sum(F.col(difference) ** 2).alias("q"))
-    return sums.select(key, "n", (F.col("s") / F.col("n")).alias("mean"), F.when(F.col("q") > 0, _erfc(F.abs("s") / F.sqrt("q") / F.lit(sqrt(2)))).otherwise(1.0).alias("p"))
+    few = df.join(sums.where(F.col("n") < CLOSED_FORM_FROM).select(key), key, "left_semi").where(F.col(difference).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.col(difference).cast("double"))).alias("d"))
+    small = few.select(key, _small_p(F.col("d"), F.col(key).cast("string")).alias("small"))
+    large = F.when(F.col("q") > 0, _erfc(F.abs("s") / F.sqrt("q") / F.lit(sqrt(2)))).otherwise(1.0)
+    return sums.join(small, key, "left").select(key, "n", (F.col("s") / F.col("n")).alias("mean"), F.when(F.col("n") < CLOSED_FORM_FROM, F.col("small")).otherwise(large).alias("p"))

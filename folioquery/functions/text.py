@@ -94,11 +94,16 @@ def prefix_range(path: Column, prefix: str) -> Column:
     return (path >= prefix) & (path < prefix[:-1] + chr(ord(prefix[-1]) + 1)) if prefix else F.lit(True)
 
 
+def title_key(c: Column) -> Column:
+    """The key of a title without a trip to Python: lower case, runs of anything but letters, marks, digits and _ as one _."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{M}\\p{N}]+", "_"), F.lit("_"))
+
+
 def title_grade(title: Column, wanted: Column) -> Column:
-    """How well a title answers a wanted one: 45 the same, 40 the same key, 30 a prefix of the key, 0 not."""
-    a = F.regexp_replace(F.lower(title), "[^a-z0-9]+", "_")
-    b = F.regexp_replace(F.lower(wanted), "[^a-z0-9]+", "_")
-    return F.when(title == wanted, 45).when(a == b, 40).when(F.startswith(a, b), 30).otherwise(0)
+    """How well a title answers a wanted one: 45 the same but for case, 40 the same key, 30 one begins with the other, 0 not; an empty title never."""
+    low, want = F.lower(title), F.lower(wanted)
+    prefix = F.startswith(low, want) | F.startswith(want, low)
+    return F.when(F.char_length(title) == 0, 0).when(low == want, 45).when(title_key(title) == title_key(wanted), 40).when(prefix, 30).otherwise(0)
 
 
 def data_type(text: Column) -> Column:

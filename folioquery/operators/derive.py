@@ -55,14 +55,15 @@ REFERENCES = {
     "page": r"\bp\.\s*(\d+)",
     "volume": r"\bvol\.\s*(\d+)",
 }
+#: Sites of a kind in a block beyond which a notice is given (reference_notices); none is left out.
 SITES_PER_BLOCK = 32
 
 
 def references(blocks: DataFrame) -> DataFrame:
-    """(block_id, doc_ord, akind, name): what each block refers to, at most SITES_PER_BLOCK per kind (the feature of the extractor)."""
+    """(block_id, doc_ord, akind, name): everything each block refers to."""
 
     def sites(kind: str, pattern: str) -> Column:
-        names = F.slice(F.regexp_extract_all("text", F.lit(pattern), 1), 1, SITES_PER_BLOCK)
+        names = F.regexp_extract_all("text", F.lit(pattern), 1)
         return F.transform(names, lambda x: F.struct(F.lit(kind).alias("akind"), x.alias("name")))
 
     found = [sites(k, p) for k, p in REFERENCES.items()]
@@ -87,10 +88,28 @@ def unresolved_references(refs: DataFrame, defined: DataFrame) -> DataFrame:
     return refs.join(defined.select("doc_ord", "akind", "name"), ["doc_ord", "akind", "name"], "left_anti")
 
 
+#: How a text defines a term: quoted, then said to mean something; in brackets; "hereinafter".
+_TERM = r"(?:\"([^\"\n]{1,80})\"|“([^”\n]{1,80})”|‘([^’\n]{1,80})’|«\s?([^»\n]{1,80}?)\s?»)"
+_MEANS = r"\s*(?:shall\s+mean|means|refers\s+to|is\s+defined\s+as|(?:shall\s+)?ha(?:s|ve)\s+the\s+meanings?|bezeichnet|bedeutet|désigne|signifie|significa|designa)\b"
+DEFINITIONS = {
+    "copular": _TERM + r"(?:\s+[^\s\"“”‘’.;:]+){0,3}?" + _MEANS,
+    "parenthetical": r"\(\s*(?:[Tt]he\s+)?" + _TERM + r"\s*\)",
+    "hereinafter": r"\(\s*(?:[Hh]ereinafter|[Nn]achfolgend|[Cc]i-après|[Ee]n adelante)(?:\s+(?:referred\s+to\s+as|called))?\s*,?\s*(?:[Tt]he\s+)?" + _TERM + r"\s*\)",
+    "named": r"(?:code word|Kennwort|lema|mot(?: de passe)?|term|keyword|palabra)\s+" + _TERM,
+}
+#: Fixed value: the least length of a term's key.
+LEAST_KEY = 3
+
+
 def defined_terms(blocks: DataFrame) -> DataFrame:
-    """(block_id, term): names a text introduces in quotation marks or brackets after `word` or `called`, one per block and term."""
-    shape = r"(?:code word|Kennwort|lema|mot)\s+[‘‚«]\s*([^\s’‘»]+)\s*[’‘»]"
-    return blocks.where(F.col("text").isNotNull()).select("block_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(shape), 1))).alias("term"))
+    """(block_id, form, term): every term a text defines, once a block and form; terms with a key of under three characters are none."""
+
+    def terms(form: str, pattern: str) -> Column:
+        groups = [F.regexp_extract_all("text", F.lit(pattern), i) for i in range(1, 5)]
+        return F.transform(F.array_distinct(F.filter(F.concat(*groups), lambda x: F.char_length(text.title_key(x)) >= LEAST_KEY)), lambda x: F.struct(F.lit(form).alias("form"), x.alias("term")))
+
+    found = F.concat(*[terms(f, p) for f, p in DEFINITIONS.items()])
+    return blocks.where(F.col("text").isNotNull()).select("block_id", F.explode(found).alias("d")).select("block_id", "d.form", "d.term")
 
 
 def lexicon(mentions: DataFrame, documents: int, most_share: float = 0.5) -> DataFrame:

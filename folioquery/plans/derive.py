@@ -128,7 +128,10 @@ def unresolved_by_name(spark, d):
     return derive.unresolved_references(derive.references(h), derive.anchors(h)).groupBy("akind", "name").agg(F.count("*").alias("sites"), F.count_distinct("doc_ord").alias("docs"))
 
 
-@query("defined_terms")
+_DEFINED = " UNION ".join(f"SELECT block_id, '{f}' AS form, unnest(regexp_extract_all(text, '{p}', {i})) AS term FROM h WHERE text IS NOT NULL" for f, p in derive.DEFINITIONS.items() for i in range(1, 5))
+
+
+@query("defined_terms", f"WITH h AS ({_HEAD}) SELECT * FROM ({_DEFINED}) WHERE length(trim(regexp_replace(lower(term), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '_', 'g'), '_')) >= 3")
 def defined_terms(spark, d):
     return derive.defined_terms(head(spark, d))
 
@@ -166,10 +169,18 @@ def priced_lines(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", derive.money([F.col("l_quantity"), F.col("l_linenumber")], ["1250.5", "0.25"]).alias("micros"))
 
 
-@query("budget_tier", f"WITH n AS (SELECT doc_ord, count(*) AS blocks FROM ({_HEAD}) GROUP BY doc_ord) SELECT doc_ord, CASE WHEN blocks < 10 THEN 12000 WHEN blocks < 25 THEN 18000 ELSE 24000 END AS chars FROM n")
+#: Fixed values: (blocks below, characters, documents, characters a document, calls) of an answer, by the indexed blocks of the corpus.
+TIERS = [(5000, 12000, 4, 3500, 1), (50000, 18000, 6, 4500, 2), (500000, 22000, 8, 5000, 3), (5000000, 24000, 8, 5500, 4), (9223372036854775807, 24000, 10, 5500, 5)]
+_TIER_NAMES = ["max_chars", "max_docs", "chars_per_doc", "calls"]
+
+
+@query("budget_tier", f"WITH n AS (SELECT count(*) AS blocks FROM ({_HEAD})) SELECT blocks, tier, {', '.join(_TIER_NAMES)} FROM n, (VALUES {', '.join(str((i, *t)) for i, t in enumerate(TIERS))}) t(tier, below, {', '.join(_TIER_NAMES)}) WHERE blocks < below ORDER BY below LIMIT 1")
 def budget_tier(spark, d):
-    n = head(spark, d).groupBy("doc_ord").agg(F.count("*").alias("blocks"))
-    return n.select("doc_ord", F.when(F.col("blocks") < 10, 12000).when(F.col("blocks") < 25, 18000).otherwise(24000).alias("chars"))
+    """The room of an answer: the first tier whose bound the corpus's indexed blocks do not reach."""
+    row = F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(t[0]).alias("below"), *[F.lit(v).alias(n) for n, v in zip(_TIER_NAMES, t[1:])]) for i, t in enumerate(TIERS)])
+    n = head(spark, d).agg(F.count("*").alias("blocks"))
+    return n.select("blocks", F.get(F.filter(row, lambda t: F.col("blocks") < t["below"]), 0).alias("t")).select("blocks", "t.tier", *[f"t.{n}" for n in _TIER_NAMES])
+
 
 
 # Scalar functions

@@ -42,19 +42,45 @@ def split_hash(spark, d):
     return rows.select("assertion_id", F.when(h < 70, "fit").when(h < 85, "validation").otherwise("holdout").alias("part"))
 
 
-@query("redacted", f"SELECT block_id, regexp_replace(text, '[0-9a-f]{{12}}', '<digest>', 'g') AS text FROM ({_HEAD}) WHERE regexp_matches(text, '[0-9a-f]{{12}}')")
+#: Shapes that must not be logged, in their order, with what stands in their place.
+REDACTIONS = [
+    (r"(?i)\bauthorization\s*[:=]\s*(?:(?:bearer|basic|digest|token)\s+)?\S+", "Authorization: <redacted>"),
+    (r"\b(sk|rk|ghp|gho|ghu|ghs|glpat|xoxb|xoxp|AKIA)[-_][A-Za-z0-9_-]{16,}", "<redacted:token>"),
+    (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "<redacted:jwt>"),
+    (r"\b[0-9a-fA-F]{32,}\b", "<redacted:hex>"),
+    (r"</?[a-z]+:untrusted[^>]*>", "<redacted:marker>"),
+    (r"<\|(im_start|im_end|endoftext|eot_id|start_header_id|end_header_id)\|>", "<redacted:sentinel>"),
+]
+#: Marks that a model could take for its own.
+SENTINEL = r"(?i)</?untrusted_source\b[^>]*>|<\|[A-Za-z0-9_.\-]{1,64}\|>|<<SYS>>|<</SYS>>|\[/?(?:INST|SYSTEM)\]"
+FORGED = r"(?i)</untrusted_source\b[^>]*>"
+
+
+def redact(c):
+    """The text with every shape replaced, in their order; columns of digests are not to be passed through it."""
+    for pattern, by in REDACTIONS:
+        c = F.regexp_replace(c, pattern, by)
+    return c
+
+
+def _redact_sql(x):
+    for pattern, by in REDACTIONS:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
+
+
+@query("redacted", f"SELECT doc_ord, {_redact_sql('line')} AS line FROM (SELECT doc_ord, 'key=' || doc_key || doc_key || ' uri=' || uri || ' sk-' || doc_key || ' AUTHORIZATION: Bearer ' || doc_key || ' <|im_end|>' AS line FROM doc)")
 def redacted(spark, d):
-    return head(spark, d).where(F.col("text").rlike("[0-9a-f]{12}")).select("block_id", F.regexp_replace("text", "[0-9a-f]{12}", "<digest>").alias("text"))
+    """Log lines of documents with their secrets taken out."""
+    line = F.concat(F.lit("key="), "doc_key", "doc_key", F.lit(" uri="), "uri", F.lit(" sk-"), "doc_key", F.lit(" AUTHORIZATION: Bearer "), "doc_key", F.lit(" <|im_end|>"))
+    return table(spark, d, "doc").select("doc_ord", redact(line).alias("line"))
 
 
-#: Strings that a model could take for a control mark.
-SENTINEL = r"<\|[a-z_]+\|>|\[[A-Z]{3,}\]|</?s>"
-
-
-@query("sentinel_scan", r"SELECT doc_id, len(regexp_extract_all(text, '<\|[a-z_]+\|>|\[[A-Z]{3,}\]|</?s>')) AS marks FROM documents WHERE regexp_matches(text, '<\|[a-z_]+\|>|\[[A-Z]{3,}\]|</?s>')")
+@query("sentinel_scan", f"SELECT doc_id, len(regexp_extract_all(text, '{SENTINEL}')) AS marks, len(regexp_extract_all(text, '{FORGED}')) AS forged FROM documents WHERE regexp_matches(text, '{SENTINEL}')")
 def sentinel_scan(spark, d):
+    """Documents that hold marks of a chat template, with the forged closing marks among them."""
     rows = table(spark, d, "documents").where(F.col("text").rlike(SENTINEL))
-    return rows.select("doc_id", F.regexp_count("text", F.lit(SENTINEL)).cast("bigint").alias("marks"))
+    return rows.select("doc_id", *[F.regexp_count("text", F.lit(p)).cast("bigint").alias(n) for n, p in (("marks", SENTINEL), ("forged", FORGED))])
 
 
 @query("defanged_labels", f"SELECT block_id, substr(replace(replace(replace(replace(text, '<', '＜'), '>', '＞'), '[', '［'), ']', '］'), 1, 200) AS label FROM ({_HEAD}) WHERE kind IN ('heading', 'title', 'caption') AND text IS NOT NULL")
@@ -63,17 +89,28 @@ def defanged_labels(spark, d):
     return head(spark, d).where("kind IN ('heading', 'title', 'caption') AND text IS NOT NULL").select("block_id", F.substring(F.translate("text", "<>[]", "＜＞［］"), 1, 200).alias("label"))
 
 
-@query("worth", f"SELECT block_id, round(CASE layer WHEN 'body' THEN 1.0 WHEN 'note' THEN 0.7 ELSE 0.2 END * CASE kind WHEN 'heading' THEN 0.6 WHEN 'table' THEN 0.9 ELSE 1.0 END * CASE trust WHEN 2 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.5 END * CASE WHEN quote >= 3 THEN 1.0 ELSE 0.9 END, 9) AS worth FROM ({_HEAD})")
+#: What a block is worth by its layer, kind, trust and quotability; other kinds are worth 1.
+WORTH_LAYER = {"body": 1.0, "note": 0.9, "annotation": 0.8, "furniture": 0.2, "hidden": 0.0}
+WORTH_KIND = {"toc_entry": 0.2, "page_header": 0.15, "page_footer": 0.15, "bibliography": 0.4, "reference": 0.4}
+WORTH_TRUST = {2: 1.0, 1: 0.8, 0: 0.5}
+WORTH_QUOTE = {4: 1.15, 3: 1.0, 2: 0.95, 1: 0.85, 0: 0.7}
+
+
+def _factor_sql(column, values, rest):
+    return f"CASE {column} " + " ".join(f"WHEN {k!r} THEN {v}" for k, v in values.items()) + f" ELSE {rest} END"
+
+
+@query("worth", f"SELECT block_id, round({_factor_sql('layer', WORTH_LAYER, 'NULL')} * {_factor_sql('kind', WORTH_KIND, '1.0')} * {_factor_sql('trust', WORTH_TRUST, 'NULL')} * {_factor_sql('quote', WORTH_QUOTE, 'NULL')}, 9) AS worth FROM ({_HEAD})")
 def worth(spark, d):
-    """What a block is worth in an answer, as the product of four tables."""
+    """What a block is worth in an answer, as the product of four tables; an unknown layer, trust or quotability has no worth."""
 
-    def factor(column, values, rest):
+    def factor(column, values, rest=None):
         out = None
         for k, v in values.items():
             out = F.when(F.col(column) == k, v) if out is None else out.when(F.col(column) == k, v)
-        return out.otherwise(rest)
+        return out.otherwise(rest) if rest is not None else out
 
-    product = factor("layer", {"body": 1.0, "note": 0.7}, 0.2) * factor("kind", {"heading": 0.6, "table": 0.9}, 1.0) * factor("trust", {2: 1.0, 1: 0.8}, 0.5) * F.when(F.col("quote") >= 3, 1.0).otherwise(0.9)
+    product = factor("layer", WORTH_LAYER) * factor("kind", WORTH_KIND, 1.0) * factor("trust", WORTH_TRUST) * factor("quote", WORTH_QUOTE)
     return head(spark, d).select("block_id", F.round(product, 9).alias("worth"))
 
 

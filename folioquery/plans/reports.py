@@ -265,27 +265,31 @@ def latest_run(spark, d):
 
 @query(
     "rolling_breach",
-    """WITH r AS (SELECT suite, run_id, started_ns, spend_micros FROM eval_run),
-       w AS (SELECT suite, run_id, spend_micros, started_ns, list_sort(list(spend_micros) OVER (PARTITION BY suite ORDER BY started_ns, run_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) AS l FROM r),
+    """WITH w AS (SELECT suite, run_id, started_ns, list_sort(list(spend_micros) OVER (PARTITION BY suite, subject ORDER BY started_ns, run_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) AS l, subject FROM eval_run),
        m AS (SELECT *, l[CAST(ceil(len(l) * 0.5) AS INTEGER)] AS median FROM w),
-       b AS (SELECT *, CAST(spend_micros > 1.5 * median AS INTEGER) AS over FROM m)
-       SELECT suite, run_id FROM (SELECT suite, run_id, sum(over) OVER (PARTITION BY suite ORDER BY started_ns, run_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM b) WHERE s = 2""",
+       b AS (SELECT *, CAST(len(l) = 7 AND median > 1.25 * first_value(median) OVER (PARTITION BY suite, subject ORDER BY len(l) < 7, started_ns, run_id) AS INTEGER) AS over FROM m)
+       SELECT suite, subject, run_id FROM (SELECT *, sum(over) OVER (PARTITION BY suite, subject ORDER BY started_ns, run_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM b) WHERE s = 3""",
 )
 def rolling_breach(spark, d):
-    """Runs that end two consecutive breaches of one and a half times the rolling median of seven."""
-    order = Window.partitionBy("suite").orderBy("started_ns", "run_id")
+    """Runs that end three consecutive breaches: the median of a subject's last seven runs over one and a quarter of its first such median."""
+    order = Window.partitionBy("suite", "subject").orderBy("started_ns", "run_id")
     values = F.sort_array(F.collect_list("spend_micros").over(order.rowsBetween(-6, 0)))
-    rows = table(spark, d, "eval_run").select("suite", "run_id", "started_ns", "spend_micros", F.get(values, (F.ceil(F.size(values) * 0.5) - 1).cast("int")).alias("median"))
-    over = rows.withColumn("over", (F.col("spend_micros") > 1.5 * F.col("median")).cast("int"))
-    return over.withColumn("s", F.sum("over").over(order.rowsBetween(-1, 0))).where("s = 2").select("suite", "run_id")
+    rows = table(spark, d, "eval_run").select("suite", "subject", "run_id", "started_ns", values.alias("l"))
+    rows = rows.withColumn("median", F.get("l", (F.ceil(F.size("l") * 0.5) - 1).cast("int")))
+    base = F.first(F.when(F.size("l") == 7, F.col("median")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    over = rows.withColumn("over", ((F.size("l") == 7) & (F.col("median") > 1.25 * base)).cast("int"))
+    return over.withColumn("s", F.sum("over").over(order.rowsBetween(-2, 0))).where("s = 3").select("suite", "subject", "run_id")
 
 
-@query("flake_window", f"WITH v AS ({_VERDICT}), x AS (SELECT v.assertion_id, v.evaluator, count(*) AS n, count(DISTINCT v.passed) AS outcomes FROM v JOIN eval_run r USING (run_id) WHERE r.started_ns >= 1727740800000000000 AND r.started_ns < 1727740800000000000 + 30 * 86400000000000 GROUP BY ALL) SELECT assertion_id, evaluator, n FROM x WHERE outcomes = 2")
+@query("flake_window", f"WITH v AS ({_VERDICT}), l AS (SELECT max(started_ns) AS last FROM eval_run), x AS (SELECT v.evaluator, v.assertion_id, count(*) AS n, count(*) FILTER (WHERE passed = 1) AS p FROM v JOIN eval_run r USING (run_id), l WHERE r.started_ns > l.last - 30 * 86400000000000 GROUP BY ALL) SELECT evaluator, count(*) AS assertions, count(*) FILTER (WHERE p > 0 AND p < n) AS flaky, count(*) FILTER (WHERE p > 0 AND p < n) > 0.02 * count(*) AS over FROM x GROUP BY evaluator")
 def flake_window(spark, d):
-    """Assertions that both passed and failed within thirty days."""
-    first, last = 1_727_740_800_000_000_000, 1_727_740_800_000_000_000 + 30 * 86_400_000_000_000
-    runs = table(spark, d, "eval_run").where((F.col("started_ns") >= first) & (F.col("started_ns") < last)).select("run_id")
-    return verdicts(spark, d).join(runs, "run_id").groupBy("assertion_id", "evaluator").agg(F.count("*").alias("n"), F.min("passed").alias("lo"), F.max("passed").alias("hi")).where("lo <> hi").select("assertion_id", "evaluator", "n")
+    """Per evaluator, the assertions that both passed and failed within the thirty days up to the last run, and whether they are over two in a hundred."""
+    runs = table(spark, d, "eval_run").select("run_id", "started_ns")
+    last = runs.agg(F.max("started_ns").alias("last"))  # one row
+    recent = runs.join(F.broadcast(last), F.col("started_ns") > F.col("last") - 30 * 86_400_000_000_000).select("run_id")
+    per = verdicts(spark, d).join(recent, "run_id").groupBy("evaluator", "assertion_id").agg(F.count("*").alias("n"), F.count_if(F.col("passed") == 1).alias("p"))
+    flaky = F.count_if((F.col("p") > 0) & (F.col("p") < F.col("n")))
+    return per.groupBy("evaluator").agg(F.count("*").alias("assertions"), flaky.alias("flaky"), (flaky > 0.02 * F.count("*")).alias("over"))
 
 
 @query("nearest_rank_pages", "SELECT format, l[CAST(ceil(len(l) * 0.5) AS INTEGER)] AS p50, l[CAST(ceil(len(l) * 0.9) AS INTEGER)] AS p90 FROM (SELECT format, list_sort(list(page_count)) AS l FROM doc WHERE page_count IS NOT NULL GROUP BY format)")

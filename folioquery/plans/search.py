@@ -14,7 +14,7 @@ from ..session import table
 from .catalog import query
 from .reports import _HEAD, head
 
-QUESTIONS = [(1, "retention schedule"), (2, "maintenance contract invalidates the ledger"), (3, "Prüfprotokoll Bestandsverzeichnis"), (4, "première copie"), (5, "quantum chromodynamics")]
+QUESTIONS = [(1, "retention schedule"), (2, "maintenance contract invalidates the ledger"), (3, "Prüfprotokoll Bestandsverzeichnis"), (4, "première copie"), (5, "quantum chromodynamics"), (6, "Delivery conditions"), (7, "open questions")]
 _QUESTIONS_SQL = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS) + ") q(query_id, text)"
 
 _FIELDS = {"kind": "kinds", "layer": "layers", "lang": "lang", "sec": "section_prefix"}
@@ -29,12 +29,12 @@ class ParsedQuery:
     filters: Filters = field(default_factory=Filters)
 
 
-def parse_query(question: str, max_chars: int = 4000, max_terms: int = 64) -> ParsedQuery:
+def parse_query(question: str) -> ParsedQuery:
     """Parse `kind: layer: lang: sec: page: doc: trust: quote:` fields, "phrases" and terms; unknown fields stay text."""
     import re
 
     out, found = ParsedQuery(), {}
-    rest = question[:max_chars]
+    rest = question
     for phrase in re.findall(r'"([^"]+)"', rest):
         out.phrases.append(phrase)
     rest = re.sub(r'"[^"]*"', " ", rest)
@@ -51,7 +51,7 @@ def parse_query(question: str, max_chars: int = 4000, max_terms: int = 64) -> Pa
             found["doc_ords"] = (int(value.lstrip("d")),)
         else:
             out.terms += re.findall(r"[^\W_]+", word.lower())
-    out.terms, out.filters = out.terms[:max_terms], Filters(**found)
+    out.terms, out.filters = out.terms, Filters(**found)
     return out
 
 
@@ -86,8 +86,8 @@ def identity(spark: SparkSession, d: str) -> DataFrame:
     return graded.select("query_id", "block_id", text.title_grade(F.col("text"), F.col("wanted")).cast("double").alias("score"))
 
 
-_KEY = "regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g')"
-_IDENTITY = f"""i AS (SELECT query_id, block_id, CAST(CASE WHEN h.text = q.text THEN 45 WHEN {_KEY.format('h.text')} = {_KEY.format('q.text')} THEN 40 WHEN starts_with({_KEY.format('h.text')}, {_KEY.format('q.text')}) THEN 30 ELSE 0 END AS DOUBLE) AS score
+_KEY = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '_', 'g'), '_')"
+_IDENTITY = f"""i AS (SELECT query_id, block_id, CAST(CASE WHEN h.text = '' THEN 0 WHEN lower(h.text) = lower(q.text) THEN 45 WHEN {_KEY.format('h.text')} = {_KEY.format('q.text')} THEN 40 WHEN starts_with(lower(h.text), lower(q.text)) OR starts_with(lower(q.text), lower(h.text)) THEN 30 ELSE 0 END AS DOUBLE) AS score
     FROM h, {_QUESTIONS_SQL} WHERE kind IN ('heading', 'title') AND h.text IS NOT NULL)"""
 
 

@@ -47,15 +47,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of df by a reliable checkpoint.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables and checkpoints: the one the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests, a laptop)
-    a temporary folder is taken.
+    A temporary folder of this machine is taken only where the setting is missing and the master is local, as in tests; on a cluster executors
+    could not write where the driver reads, so a missing setting is an error there.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioquery-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioquery-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage of df by a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager)
 
 
@@ -69,9 +78,6 @@ def store(df: DataFrame) -> DataFrame:
     import uuid
 
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioquery-ckpt-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

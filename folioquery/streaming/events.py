@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,15 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_dir
+
 EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder for streams' checkpoints and outputs, in the shared folder of the cluster where it names one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioquery-ckpt-"))
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def write_log(events: DataFrame, path: str) -> None:
