@@ -8,7 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 WORD = r"[\p{L}\p{N}]+"
 #: Rounds after which folding has come to rest.
@@ -26,7 +26,7 @@ def fold_key(text: str) -> str:
 
 
 @F.arrow_udf(StringType())
-def _fold_keys(column: pa.Array) -> pa.Array:
+def fold_keys(column: pa.Array) -> pa.Array:
     seen: dict[str, str] = {}
     return pa.array([None if t is None else seen[t] if t in seen else seen.setdefault(t, fold_key(t)) for t in column.to_pylist()], type=pa.string())
 
@@ -35,7 +35,7 @@ def normalize_key(text: Column) -> Column:
     """fold_key() of a column; plain ASCII never leaves the JVM."""
     ascii_key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9_]+", "_"), "_+", "_"), F.lit("_"))
     plain = text.rlike(r"^[\x00-\x7f]*$")
-    return F.when(plain, ascii_key).otherwise(_fold_keys(F.when(~plain, text)))
+    return F.when(plain, ascii_key).otherwise(fold_keys(F.when(~plain, text)))
 
 
 @F.arrow_udf(StringType())
@@ -143,3 +143,28 @@ def fold_view(text: str) -> tuple[str, list[int]]:
 def fold_text(column: pa.Array) -> pa.Array:
     """fold_view() without the places."""
     return pa.array([None if t is None else fold_view(t)[0] for t in column.to_pylist()], type=pa.string())
+
+
+_VIEW = StructType([StructField("text", StringType()), StructField("places", ArrayType(IntegerType()))])
+
+
+@F.arrow_udf(_VIEW)
+def fold_views(column: pa.Array) -> pa.Array:
+    """fold_view() of a column."""
+    views = [None if t is None else fold_view(t) for t in column.to_pylist()]
+    return pa.array([None if v is None else {"text": v[0], "places": v[1]} for v in views], type=pa.struct([("text", pa.string()), ("places", pa.list_(pa.int32()))]))
+
+
+def strip_markdown(c: Column) -> Column:
+    """A text without Markdown's line marks, links and emphasis, runs of white space as one space; letter case stays."""
+    c = F.regexp_replace(c, r"(?m)^ {0,3}(#{1,6}|>|[-*+]|[0-9]+\.)[ \t]+", "")
+    c = F.regexp_replace(c, r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[*_`]{1,3}", ""), r"[ \t\n\r]+", " "))
+
+
+def parse_duration(duration: str) -> int:
+    """Seconds of `<n>m`, `<n>h` or `<n>d`."""
+    m = re.fullmatch(r"(\d+)([mhd])", duration.strip())
+    if not m:
+        raise ValueError(f"not a duration: {duration!r}")
+    return int(m[1]) * {"m": 60, "h": 3600, "d": 86400}[m[2]]

@@ -79,6 +79,32 @@ def ceiling(statuses: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFra
     return statuses.groupBy("query_id").agg(F.sum(F.when(looked, weight / (RANK_K + 1))).alias("ceiling"))
 
 
+#: The depth of each channel, and after which of them the rest may be skipped.
+DEPTHS = {"identity": 20, "exact": 50, "lexical": 50, "semantic": 50, "structural": 50}
+SHORT = {"identity": "best grade >= 48", "exact": None, "lexical": None, "semantic": None, "structural": None}
+
+
+def plan(parsed) -> list[tuple[str, str]]:
+    """(channel, status) in the order of running; a channel without anything to ask is OFF."""
+    words = bool(parsed.terms or parsed.phrases)
+    numbered = any(t.isdigit() for t in parsed.terms)
+    off = lambda on: "OK" if on else "OFF(nothing_to_ask)"
+    return [("identity", off(words)), ("exact", off(numbered)), ("lexical", off(words)), ("semantic", off(words)), ("structural", off(words))]
+
+
+def short_circuit(graded: DataFrame, least: float = 48.0) -> DataFrame:
+    """(query_id): queries that an identity of at least this grade answers, for which later channels are skipped."""
+    return graded.groupBy("query_id").agg(F.max("score").alias("best")).where(F.col("best") >= least).select("query_id")
+
+
+def federate(hits: DataFrame, depth: int) -> DataFrame:
+    """(query_id, block_id, shard, rank, place): ranked hits (query_id, block_id, score, shard) of several corpora merged by rank, ties by shard."""
+    own = Window.partitionBy("query_id", "shard").orderBy(F.desc("score"), "block_id")
+    cut = hits.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= depth)
+    order = Window.partitionBy("query_id").orderBy("rank", "shard", "block_id")
+    return cut.withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth).select("query_id", "block_id", "shard", "rank", "place")
+
+
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
 
 

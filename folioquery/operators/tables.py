@@ -27,6 +27,16 @@ def pipe_table(cells: DataFrame) -> DataFrame:
     return lines.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda s: s["line"]), "\n").alias("text"))
 
 
+def html_table(cells: DataFrame) -> DataFrame:
+    """(table_id, html): each table as HTML; cells (table_id, r, c, text)."""
+    safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    slots = cells.select("table_id", "r", "c", F.concat(F.lit("<td>"), safe, F.lit("</td>")).alias("td"))
+    # The cells of a table once, ordered inside one array: one shuffle for rows and tables.
+    rows = slots.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("r", "c", "td"))).alias("x"))
+    opened = F.transform("x", lambda s, i: F.concat(F.when(i == 0, "<tr>").when(F.get("x", i - 1)["r"] != s["r"], "</tr><tr>").otherwise(""), s["td"]))
+    return rows.select("table_id", F.concat(F.lit("<table>"), F.array_join(opened, ""), F.lit("</tr></table>")).alias("html"))
+
+
 def claims(cells: DataFrame) -> DataFrame:
     """(table_id, subject, relation, value): body cells under the header row (r = 0) and beside the subject column (c = 0)."""
     head = cells.where("r = 0").select("table_id", "c", F.col("text").alias("relation"))

@@ -29,6 +29,17 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
+def scope_condition(scope: str):
+    """A scope as a condition over (uri, doc_ord, page): a path or glob, with #p12-40 for pages, or d7 for a document."""
+    import re
+
+    if m := re.fullmatch(r"d(\d+)", scope):
+        return F.col("doc_ord") == int(m[1])
+    m = re.fullmatch(r"(.*?)(?:#p(\d+)(?:-(\d+))?)?", scope)
+    inside = F.col("uri").rlike(glob_pattern(m[1]))
+    return inside if m[2] is None else inside & F.col("page").between(int(m[2]), int(m[3] or m[2]))
+
+
 @query("scope_glob", "SELECT doc_ord, uri FROM doc WHERE regexp_matches(uri, '^corpora/[^/]*_memos/.*$')")
 def scope_glob(spark, d):
     return table(spark, d, "doc").where(F.col("uri").rlike(glob_pattern("corpora/*_memos/**"))).select("doc_ord", "uri")

@@ -90,6 +90,13 @@ def pair_spans(starts: DataFrame, ends: DataFrame, key: str, most: str = "1 hour
     return a.join(b, (F.col(key) == F.col("k")) & (F.col("ended") >= F.col("started")) & (F.col("ended") <= F.col("started") + F.expr(f"INTERVAL {most}"))).drop("k")
 
 
+def otlp(rows: DataFrame) -> DataFrame:
+    """(trace_id, span_id, name, start_ns, end_ns, status): events as OTLP spans; a trace is a user, value is seconds x 1000, an error has status 2."""
+    start = F.unix_micros("ts") * 1000 if dict(rows.dtypes)["ts"] == "timestamp" else F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    id_ = lambda c: F.md5(F.col(c).cast("string"))
+    return rows.select(id_("user_id").alias("trace_id"), F.substring(id_("event_id"), 1, 16).alias("span_id"), F.col("event_type").alias("name"), start.alias("start_ns"), (start + F.round(F.col("value") * 1_000_000).cast("bigint")).alias("end_ns"), F.when(F.col("event_type") == "error", 2).otherwise(1).alias("status"))
+
+
 def tail_sample(events: DataFrame, key: str, keep_all, percent: int) -> DataFrame:
     """Events of every key that keep_all marks, and of `percent` in a hundred of the other keys, chosen by hash: the sampling operator."""
     marked = events.where(keep_all).select(key).distinct()

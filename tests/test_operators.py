@@ -232,3 +232,103 @@ def test_spans_of_files_in_any_order_of_time(spark, tmp_path):
         pq.write_table(pa.table(rows), folder / f"{i:02}.parquet")
         os.utime(folder / f"{i:02}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
     assert sorted(r.user_id for r in files.span_pairs(spark, str(tmp_path)).collect()) == list(range(30))
+
+
+def test_sign_flip_bands():
+    from itertools import product
+
+    from folioquery.functions.stats import sign_flip_p
+
+    d = [0.5, -0.25, 0.75, 1.0, -0.5]
+    brute = [abs(sum(s * x for s, x in zip(signs, d))) for signs in product((1, -1), repeat=len(d))]
+    assert sign_flip_p(d, "x") == sum(b >= abs(sum(d)) - 1e-12 for b in brute) / len(brute)
+    assert sign_flip_p([], "x") is None and sign_flip_p([0.0] * 300, "x") == 1.0
+    assert sign_flip_p([1.0] * 50, "x") == 1 / 10_000 and sign_flip_p([1.0, -1.0] * 25, "x") == 1.0
+    assert sign_flip_p([1.0] * 300, "x") < 1e-12
+
+
+def test_names_of_any_length(spark):
+    from folioquery.operators.gazetteer import find_names
+
+    blocks = spark.createDataFrame([(1, "the Board for Long Term Storage of Paper Records met"), (2, "Board for Long Term Plans"), (3, None)], "block_id int, text string")
+    names = spark.createDataFrame([("Board for Long Term Storage of Paper Records",), ("Board",), (None,), ("",)], "name string")
+    assert sorted((r.block_id, r.name, r.words) for r in find_names(blocks, names).collect()) == [(1, "Board for Long Term Storage of Paper Records", 8), (2, "Board", 1)]
+
+
+def test_signature_of_every_dimension(spark):
+    a, b = [1.0] * 768, [1.0] * 700 + [-1.0] * 68
+    df = spark.createDataFrame([(a, b)], "a array<float>, b array<float>")
+    row = df.select(F.size(similarity.signature(F.col("a"))).alias("n"), similarity.hamming(similarity.signature(F.col("a")), similarity.signature(F.col("b"))).alias("far")).first()
+    assert row.n == 12 and row.far == 68
+
+
+def test_every_reference_stands(spark):
+    from folioquery.operators import derive
+
+    blocks = spark.createDataFrame([(1, 1, " ".join(f"Section {i}." for i in range(100)))], "block_id int, doc_ord int, text string")
+    assert derive.references(blocks).count() == 100
+
+
+def test_titles_of_any_script(spark):
+    rows = [("Приложение", "Содержание", 0), ("目次", "Приложение", 0), ("ПРИЛОЖЕНИЕ", "приложение", 45), ("Table 3-2", "table 3.2", 40), ("Table 3.2 (revised)", "Table 3.2", 30), ("Table", "Table 3.2", 30), ("", "x", 0)]
+    df = spark.createDataFrame(rows, "t string, w string, g int")
+    assert all(r.got == r.g for r in df.select("*", text.title_grade(F.col("t"), F.col("w")).alias("got")).collect())
+
+
+def test_redaction(spark):
+    from folioquery.plans.records import redact
+
+    rows = [("Authorization: Bearer abc", "Authorization: <redacted>"), ("x ghp_0123456789abcdefXYZ y", "x <redacted:token> y"), ("d" * 32, "<redacted:hex>"), ("d" * 31, "d" * 31), ("<|im_start|>", "<redacted:sentinel>"), (None, None)]
+    df = spark.createDataFrame(rows, "s string, want string")
+    assert all(r.got == r.want for r in df.select("want", redact(F.col("s")).alias("got")).collect())
+
+
+def test_containers(spark, tmp_path):
+    import gzip
+    import io
+    import zipfile
+
+    from folioquery.sources import containers
+
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("a/b.txt", "x")
+    with zipfile.ZipFile(tmp_path / "outer.zip", "w") as z:
+        z.writestr("inner.zip", inner.getvalue())
+        z.writestr("plain.txt", "y")
+    (tmp_path / "bomb.gz").write_bytes(gzip.compress(b"0" * 20_000_000))
+    (tmp_path / "broken.zip").write_bytes(b"PK\x03\x04nothing")
+    rows = {(r.member, r.fault) for r in containers.expand(spark, str(tmp_path)).collect()}
+    assert rows == {("a/b.txt", None), ("plain.txt", None), ("bomb.gz", "expands beyond its limit"), ("broken.zip", "BadZipFile")}
+
+
+def test_durations_and_config():
+    from folioquery.sdk import Config
+
+    assert [text.parse_duration(x) for x in ("5m", "2h", "7d")] == [300, 7200, 604800]
+    with pytest.raises(ValueError):
+        text.parse_duration("7w")
+    base, more = Config.resolve(), Config.resolve({"fusion.k": "30"}, {"shuffle.partitions": 8})
+    assert more.semantic["fusion.k"] == 30 and base.digest() != more.digest() and base.digest() == Config.resolve({"shuffle.partitions": 8}).digest()
+    with pytest.raises(KeyError):
+        Config.resolve({"nothing": 1})
+
+
+def test_plan_and_short_circuit(spark):
+    from folioquery.plans.search import parse_query
+
+    assert retrieval.plan(parse_query("kind:heading"))[0] == ("identity", "OFF(nothing_to_ask)")
+    assert dict(retrieval.plan(parse_query("see Section 4")))["exact"] == "OK"
+    graded = spark.createDataFrame([(1, 50.0), (1, 10.0), (2, 45.0)], "query_id int, score double")
+    assert [r.query_id for r in retrieval.short_circuit(graded).collect()] == [1]
+
+
+def test_document_handle(spark, data):
+    from folioquery.sdk import corpus
+
+    doc = corpus(spark, data).doc(2)
+    rows = doc.blocks(pages=(0, 1)).collect()
+    assert rows and all(r.doc_ord == 2 and 0 <= r.page <= 1 for r in rows)
+    assert doc.subtree(rows[0].block_id).count() >= 1
+    assert doc.quote(rows[0].block_id, "no such words").first().exact in (False, None)
+    assert set(corpus(spark, data).load().columns) == {"page_content", "metadata"}
