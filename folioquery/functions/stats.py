@@ -5,7 +5,7 @@ from __future__ import annotations
 from math import erfc, sqrt
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -28,6 +28,15 @@ def nearest_rank(column: str, q: float) -> Column:
     return F.get(values, F.greatest(F.lit(0), F.ceil(F.size(values) * F.lit(q)) - 1).cast("int"))
 
 
+def nearest_ranks(df: DataFrame, key: str, column: str, shares: dict[str, float]) -> DataFrame:
+    """(key, a column per share): nearest-rank percentiles per group. Values are counted before the shuffle, and a group's window runs over its distinct
+    values only; nulls do not count."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(key, column).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(key).orderBy(column)
+    running = counts.withColumns({"_upto": F.sum("_n").over(order), "_all": F.sum("_n").over(Window.partitionBy(key))})
+    return running.groupBy(key).agg(*[F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1), F.ceil(F.col("_all") * F.lit(q))), F.col(column))).alias(name) for name, q in shares.items()])
+
+
 def pool_adjacent(points: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
     """Weighted non-decreasing least-squares fit of (x, y, weight): (x, fitted) in order of x."""
     blocks: list[list] = []

@@ -11,10 +11,18 @@ from pyspark.sql import functions as F
 from ..functions.text import prefix_range
 
 
-def block_head(block: DataFrame, doc: DataFrame) -> DataFrame:
-    """The live blocks of each document's head generation; rows delivered twice count once (by block_id, the latest written)."""
-    heads = doc.select("doc_ord", "gen")
-    live = block.where("state = 0").join(heads, ["doc_ord", "gen"])
+def block_head(block: DataFrame, doc: DataFrame, only: Filters | None = None, where: Column | None = None) -> DataFrame:
+    """The live blocks of each document's head generation; rows delivered twice count once (by block_id, the latest written).
+
+    A delivery repeats its row, all but the time it was written, so conditions hold for all deliveries of a block or for none. `only` and `where`
+    are therefore tested before the deliveries are counted, on the scan.
+    """
+    heads, live = doc.select("doc_ord", "gen"), block.where("state = 0")
+    if only is not None:
+        live = narrow(live, only)
+        heads = narrow(doc, only).select("doc_ord", "gen")
+    live = live.where(where) if where is not None else live
+    live = live.join(heads, ["doc_ord", "gen"])
     # One aggregate a column: those that a query does not read are pruned down to the scan.
     written = F.coalesce("written_at", F.lit("1970-01-01").cast("timestamp"))
     return live.groupBy("block_id").agg(*[F.max_by(c, written).alias(c) for c in block.columns if c != "block_id"])

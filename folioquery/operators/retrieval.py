@@ -41,14 +41,27 @@ def postings(docs: DataFrame, id_col: str, text_col: str, only: DataFrame | None
     return exploded.groupBy(id_col, "term", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, id_col: str, queries: DataFrame, n_docs: int, mean_length: float) -> DataFrame:
-    """(query_id, id, score). Document frequencies come from the index rows the queries touch; a hot term is only a longer join run."""
+def build_index(docs: DataFrame, id_col: str, text_col: str) -> tuple[str, str]:
+    """Paths of the stored postings, in ranges of (term, id) so that a hot term is spread over files, and of their one row of statistics."""
+    from ..session import store_path
+
+    rows = postings(docs, id_col, text_col).repartitionByRange("term", id_col).sortWithinPartitions("term", id_col)
+    path = store_path(rows)
+    lengths = docs.sparkSession.read.parquet(path).select(id_col, "length").groupBy(id_col).agg(F.first("length").alias("length"))
+    return path, store_path(lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean_length")))
+
+
+def bm25(index: DataFrame, id_col: str, queries: DataFrame, size: DataFrame) -> DataFrame:
+    """(query_id, id, score). Document frequencies come from the index rows the queries touch; a hot term is only a longer join run.
+    size has one row (n_docs, mean_length)."""
+    n_docs, mean_length = F.col("n_docs"), F.col("mean_length")
     wanted = query_terms(queries)
     touched = index.join(wanted.select("term").distinct(), "term", "left_semi")
     df = touched.groupBy("term").agg(F.count("*").alias("df"))
+    # The one row of statistics is broadcast.
     idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
-    return touched.join(df, "term").join(wanted, "term").groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
+    return touched.join(df, "term").join(wanted, "term").join(F.broadcast(size), F.lit(True)).groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
 
 
 def lift_headings(body: DataFrame, head: DataFrame, ancestors: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import derive, files, functions, lifecycle, quality, records, reports, search  # noqa: F401
+    from . import derive, files, functions, lifecycle, quality, records, reports, review, search  # noqa: F401
 
     return dict(_QUERIES)
 

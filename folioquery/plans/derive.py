@@ -23,7 +23,7 @@ def subtree(spark, d):
 
 @query("block_components", f"WITH RECURSIVE {_TREE}, u AS (SELECT parent AS a, child AS b FROM e UNION SELECT child, parent FROM e), r AS (SELECT a AS node, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.node) SELECT node, CAST(min(c) AS BIGINT) AS component FROM r GROUP BY node")
 def block_components(spark, d):
-    h = head(spark, d).where("parent_id IS NOT NULL")
+    h = head(spark, d, "parent_id IS NOT NULL")
     return graph.components(h.select(F.col("parent_id").alias("a"), F.col("block_id").alias("b")))
 
 
@@ -42,7 +42,7 @@ def expand_beam(spark, d):
 
 def heading_keys(spark: SparkSession, d: str) -> DataFrame:
     """(node, key): each document with each heading key it shares with another one, however many share it."""
-    titles = head(spark, d).where("kind IN ('heading', 'title') AND text IS NOT NULL").select(F.col("doc_ord").alias("node"), text.normalize_key(F.regexp_replace("text", r"^[\d.]+\s+", "")).alias("key")).distinct()
+    titles = head(spark, d, "kind IN ('heading', 'title') AND text IS NOT NULL").select(F.col("doc_ord").alias("node"), text.normalize_key(F.regexp_replace("text", r"^[\d.]+\s+", "")).alias("key")).distinct()
     return titles.join(titles.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1").select("key"), "key").select("node", "key")
 
 
@@ -61,11 +61,11 @@ def community_cohesion(spark, d):
 
 @query("salience", f"WITH e AS (SELECT block_id AS a, parent_id AS b FROM ({_HEAD}) WHERE parent_id IS NOT NULL), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT a AS node, count(*) AS degree FROM u WHERE a <> b GROUP BY a")
 def salience(spark, d):
-    return graph.salience(head(spark, d).where("parent_id IS NOT NULL").select(F.col("block_id").alias("a"), F.col("parent_id").alias("b")))
+    return graph.salience(head(spark, d, "parent_id IS NOT NULL").select(F.col("block_id").alias("a"), F.col("parent_id").alias("b")))
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
-    return head(spark, d).where("kind IN ('heading', 'title', 'section')").select(F.col("block_id").alias("id"), F.coalesce("text", "label").alias("label")).where("label IS NOT NULL")
+    return head(spark, d, "kind IN ('heading', 'title', 'section')").select(F.col("block_id").alias("id"), F.coalesce("text", "label").alias("label")).where("label IS NOT NULL")
 
 
 @query("label_pairs")
@@ -138,14 +138,14 @@ def defined_terms(spark, d):
 
 @query("lexicon", f"WITH h AS ({_HEAD}), m AS (SELECT doc_ord, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM h WHERE text IS NOT NULL), s AS (SELECT name, count(DISTINCT doc_ord) AS docs FROM m WHERE length(name) >= 4 GROUP BY name) SELECT name, docs FROM s WHERE NOT (docs >= 2 AND docs > (SELECT count(*) FROM doc) * 0.5)")
 def lexicon(spark, d):
-    mentions = head(spark, d).where("text IS NOT NULL").select("doc_ord", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), 1))).alias("name"))
+    mentions = head(spark, d, "text IS NOT NULL").select("doc_ord", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), 1))).alias("name"))
     return derive.lexicon(mentions, table(spark, d, "doc").count())
 
 
 @query("lane_coverage", f"WITH m AS (SELECT segment_id, unnest(member_ids) AS block_id FROM segment), c AS (SELECT block_id FROM ({_HEAD}) WHERE trust = 2), s AS (SELECT segment_id, count(*) AS blocks, count(c.block_id) AS covered FROM m LEFT JOIN c USING (block_id) GROUP BY segment_id) SELECT segment_id, blocks, covered, covered / blocks < 0.6 AS billed FROM s")
 def lane_coverage(spark, d):
     members = table(spark, d, "segment").select("segment_id", F.explode("member_ids").alias("block_id"))
-    return derive.lane_coverage(members, head(spark, d).where("trust = 2"), 0.6)
+    return derive.lane_coverage(members, head(spark, d, "trust = 2"), 0.6)
 
 
 @query("invalidated_segments", f"WITH m AS (SELECT segment_id, doc_ord, unnest(member_ids) AS block_id FROM segment), o AS (SELECT DISTINCT doc_ord, addr, content_digest FROM block WHERE state = 1), x AS (SELECT m.segment_id, h.doc_ord, h.addr, h.content_digest FROM m JOIN ({_HEAD}) h USING (block_id)) SELECT DISTINCT segment_id AS work FROM x JOIN o ON o.doc_ord = x.doc_ord AND o.addr = x.addr WHERE o.content_digest <> x.content_digest")
@@ -189,7 +189,7 @@ def budget_tier(spark, d):
 @query("text_functions", f"SELECT block_id, CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT) AS tokens, len(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS words, CASE WHEN regexp_matches(trim(text), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN 'xsd:date' WHEN regexp_matches(trim(text), '^-?\\d+([.,]\\d+)?$') THEN 'xsd:decimal' ELSE 'string' END AS kind FROM ({_HEAD}) WHERE text IS NOT NULL")
 def text_functions(spark, d):
     t = F.col("text")
-    return head(spark, d).where("text IS NOT NULL").select("block_id", text.token_cost(t).alias("tokens"), F.size(F.array_distinct(text.terms(t))).cast("bigint").alias("words"), text.data_type(t).alias("kind"))
+    return head(spark, d, "text IS NOT NULL").select("block_id", text.token_cost(t).alias("tokens"), F.size(F.array_distinct(text.terms(t))).cast("bigint").alias("words"), text.data_type(t).alias("kind"))
 
 
 @query("trigrams", "SELECT p_partkey, list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, i, 3)) AS grams FROM part")
@@ -221,7 +221,7 @@ def assertion_diffs(spark, d):
     """Each quotation's least number of edits within any block of its page: the fuzzy check of 'present'."""
     a = table(spark, d, "eval_assertion").where("type = 'present' AND page IS NOT NULL").select("assertion_id", "doc", "page", "max_diffs", F.get_json_object("spec", "$.text").alias("quote")).dropDuplicates(["assertion_id"])
     doc = table(spark, d, "doc").select("doc_ord", F.col("uri").alias("doc"))
-    page = head(spark, d).where("text IS NOT NULL").select("doc_ord", "page", "text")
+    page = head(spark, d, "text IS NOT NULL").select("doc_ord", "page", "text")
     near = a.join(doc, "doc").join(page, ["doc_ord", "page"])
     # Quotations that stand word for word in a block are settled first; only the others are compared with every block.
     exact = cut(near.where(F.contains("text", "quote")).select("assertion_id", "max_diffs").distinct())

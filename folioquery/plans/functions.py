@@ -16,7 +16,7 @@ from .search import _BM25
 
 @query("composed_texts", f"SELECT block_id, nfc_normalize(text) AS text FROM ({_HEAD}) WHERE text IS NOT NULL")
 def composed_texts(spark, d):
-    return head(spark, d).where("text IS NOT NULL").select("block_id", text.nfc("text").alias("text"))
+    return head(spark, d, "text IS NOT NULL").select("block_id", text.nfc("text").alias("text"))
 
 
 @query("index_terms", f"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM ({_HEAD}) WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x20-\\x7e\\n]*')) GROUP BY term")
@@ -40,7 +40,7 @@ def content_terms(spark, d):
     """The terms of each heading without stopwords; with them where nothing else remains."""
     w = F.array_distinct(text.terms(F.col("text")))
     kept = F.array_except("w", F.array(*map(F.lit, STOPWORDS)))
-    rows = head(spark, d).where("kind = 'heading' AND text IS NOT NULL").select("block_id", w.alias("w"))
+    rows = head(spark, d, "kind = 'heading' AND text IS NOT NULL").select("block_id", w.alias("w"))
     return rows.select("block_id", F.array_join(F.array_sort(F.when(F.size(kept) > 0, kept).otherwise(F.col("w"))), " ").alias("terms"))
 
 
@@ -60,7 +60,7 @@ def cjk_bigrams(spark, d):
 @query("folded_views")
 def folded_views(spark, d):
     """Texts folded for quoting, with the place each character came from."""
-    return head(spark, d).where("text IS NOT NULL").select("block_id", text.fold_views("text").alias("v")).select("block_id", "v.text", "v.places")
+    return head(spark, d, "text IS NOT NULL").select("block_id", text.fold_views("text").alias("v")).select("block_id", "v.text", "v.places")
 
 
 @query("plain_markdown", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^ {0,3}(#{1,6}|>|[-*+]|[0-9]+\.)[ \t]+', '', 'g'), '!?\[([^\]\n]*)\]\([^)\n]*\)', '\1', 'g'), '[*_`]{1,3}', '', 'g'), '[ \t\n\r]+', ' ', 'g'), ' ') AS plain FROM documents WHERE text IS NOT NULL")
@@ -148,7 +148,7 @@ def query_plan(spark, d):
     return spark.createDataFrame(rows, "query_id int, at int, channel string, depth int, status string, skips_rest_if string")
 
 
-@query("federated_search", f"""WITH {_BM25}, sh AS (SELECT b.query_id, b.block_id, d.format AS shard, row_number() OVER (PARTITION BY query_id, d.format ORDER BY round(score, 9) DESC, block_id) AS rank FROM b JOIN h USING (block_id) JOIN doc d USING (doc_ord))
+@query("federated_search", f"""WITH {_BM25}, sh AS (SELECT b.query_id, block_id, d.format AS shard, row_number() OVER (PARTITION BY query_id, d.format ORDER BY round(b.score, 9) DESC, block_id) AS rank FROM b JOIN h USING (block_id) JOIN doc d USING (doc_ord))
     SELECT query_id, block_id, shard, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, shard, block_id) AS place FROM sh WHERE rank <= 50) WHERE place <= 50""")
 def federated_search(spark, d):
     """Lexical search of each format as a corpus of its own, merged by rank; scores of different corpora are not compared."""

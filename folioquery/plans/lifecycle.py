@@ -14,7 +14,7 @@ from .reports import _HEAD, _VERDICT, head, verdicts
 @query("climb", f"WITH RECURSIVE h AS ({_HEAD}), c AS (SELECT block_id, parent_id AS ancestor, 1 AS up FROM h WHERE parent_id IS NOT NULL UNION ALL SELECT c.block_id, h.parent_id, up + 1 FROM c JOIN h ON h.block_id = c.ancestor WHERE h.parent_id IS NOT NULL) SELECT block_id, ancestor, up FROM c")
 def climb(spark, d):
     """Every ancestor of every block with its distance: the descent along reversed edges."""
-    up = head(spark, d).where("parent_id IS NOT NULL").select(F.col("block_id").alias("parent"), F.col("parent_id").alias("child"))
+    up = head(spark, d, "parent_id IS NOT NULL").select(F.col("block_id").alias("parent"), F.col("parent_id").alias("child"))
     found = graph.descend(up, up.select(F.col("parent").alias("root")).distinct())
     return found.where("depth > 0").select(F.col("root").alias("block_id"), F.col("node").alias("ancestor"), F.col("depth").alias("up"))
 
@@ -89,7 +89,7 @@ def manifest_tallies(spark, d):
 @query("overloaded_names", f"WITH h AS ({_HEAD}), e AS (SELECT lower(text) AS name, block_id, doc_ord FROM h WHERE kind IN ('heading', 'title') AND text <> '') SELECT name, count(*) AS sites, count(DISTINCT doc_ord) AS docs, count(*) > 4096 AND count(DISTINCT doc_ord) <= 1 AS overloaded FROM e GROUP BY name")
 def overloaded_names(spark, d):
     """Names with more than 4,096 places of their own in one document at most: they are kept out of resolution and communities."""
-    e = head(spark, d).where("kind IN ('heading', 'title') AND text <> ''").select(F.lower("text").alias("name"), "doc_ord")
+    e = head(spark, d, "kind IN ('heading', 'title') AND text <> ''").select(F.lower("text").alias("name"), "doc_ord")
     per_doc = e.groupBy("name", "doc_ord").agg(F.count("*").alias("n"))
     out = per_doc.groupBy("name").agg(F.sum("n").alias("sites"), F.count("*").alias("docs"))
     return out.withColumn("overloaded", (F.col("sites") > 4096) & (F.col("docs") <= 1))
@@ -151,7 +151,7 @@ def community_match(spark, d):
 @query("report_context", f"WITH h AS ({_HEAD}), t AS (SELECT kind, block_id, CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT) AS tokens FROM h WHERE text <> '') SELECT kind, block_id FROM (SELECT *, sum(tokens) OVER (PARTITION BY kind ORDER BY tokens DESC, block_id ROWS UNBOUNDED PRECEDING) AS upto FROM t) WHERE upto <= 8000")
 def report_context(spark, d):
     """Records for a report of each kind, the largest first, up to 8,000 tokens. A record has a token at least, so 8,000 rows a group decide."""
-    t = head(spark, d).where("text <> ''").select("kind", "block_id", text.token_cost(F.col("text")).alias("tokens"))
+    t = head(spark, d, "text <> ''").select("kind", "block_id", text.token_cost(F.col("text")).alias("tokens"))
     order = Window.partitionBy("kind").orderBy(F.desc("tokens"), "block_id")
     few = t.withColumn("r", F.row_number().over(order)).where("r <= 8000")
     return few.withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("upto <= 8000").select("kind", "block_id")

@@ -97,7 +97,7 @@ def sentinel_scan(spark, d):
 @query("defanged_labels", f"SELECT block_id, substr(replace(replace(replace(replace(text, '<', '＜'), '>', '＞'), '[', '［'), ']', '］'), 1, 200) AS label FROM ({_HEAD}) WHERE kind IN ('heading', 'title', 'caption') AND text IS NOT NULL")
 def defanged_labels(spark, d):
     """Labels of at most 200 characters in which brackets cannot form a mark."""
-    return head(spark, d).where("kind IN ('heading', 'title', 'caption') AND text IS NOT NULL").select("block_id", F.substring(F.translate("text", "<>[]", "＜＞［］"), 1, 200).alias("label"))
+    return head(spark, d, "kind IN ('heading', 'title', 'caption') AND text IS NOT NULL").select("block_id", F.substring(F.translate("text", "<>[]", "＜＞［］"), 1, 200).alias("label"))
 
 
 #: What a block is worth by its layer, kind, trust and quotability; other kinds are worth 1.
@@ -160,7 +160,7 @@ def exact_assertions(spark, d):
     """Quotations that must, or must not, stand in a block of their page."""
     a = table(spark, d, "eval_assertion").where("type IN ('present', 'absent') AND page IS NOT NULL").select("assertion_id", "doc", "page", "type", F.when(F.expr("try_parse_json(spec)").isNotNull(), F.get_json_object("spec", "$.text")).alias("quote")).distinct().where("quote IS NOT NULL")
     docs = table(spark, d, "doc").select("doc_ord", F.col("uri").alias("doc"))
-    pages = head(spark, d).where("text IS NOT NULL").select("doc_ord", "page", "text").join(docs, "doc_ord")
+    pages = head(spark, d, "text IS NOT NULL").select("doc_ord", "page", "text").join(docs, "doc_ord")
     met = a.join(pages, ["doc", "page"]).groupBy("assertion_id", "type").agg(F.bool_or(F.contains("text", "quote")).alias("found"))
     return met.select("assertion_id", "type", (F.col("found") == (F.col("type") == "present")).alias("passed"))
 

@@ -14,8 +14,9 @@ _HEAD = "SELECT DISTINCT b.* EXCLUDE (written_at) FROM block b JOIN doc d ON d.d
 _VERDICT = "SELECT DISTINCT run_id, assertion_id, evaluator, passed, score, slice_key, wall_ms, micros FROM eval_verdict"
 
 
-def head(spark: SparkSession, d: str) -> DataFrame:
-    return filters.block_head(table(spark, d, "block"), table(spark, d, "doc"))
+def head(spark: SparkSession, d: str, where: str | None = None, only: filters.Filters | None = None) -> DataFrame:
+    """The head view of the blocks; conditions given here reach the scan."""
+    return filters.block_head(table(spark, d, "block"), table(spark, d, "doc"), only, F.expr(where) if where else None)
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -39,9 +40,8 @@ def segment_head(spark, d):
 
 @query("filter_query", f"SELECT h.block_id FROM ({_HEAD}) h JOIN doc d USING (doc_ord) WHERE d.format IN ('html', 'md', 'pdf') AND h.kind IN ('paragraph', 'heading') AND h.layer IN ('body') AND h.page BETWEEN 0 AND 3 AND h.trust >= 1 AND h.quote >= 1 AND h.method NOT IN ('llm') AND (h.restriction_bits & 5) = 0 AND starts_with(d.uri, 'corpora/')")
 def filter_query(spark, d):
-    rows = head(spark, d).join(table(spark, d, "doc").select("doc_ord", "uri", "format"), "doc_ord")
     wanted = filters.Filters(uri_prefix="corpora/", formats=("html", "md", "pdf"), kinds=("paragraph", "heading"), pages=(0, 3), min_trust=1, min_quote=1, deny_methods=("llm",), deny_bits=5)
-    return filters.narrow(rows, wanted).select("block_id")
+    return head(spark, d, only=wanted).select("block_id")
 
 
 @query("withheld_by_bit", f"SELECT CAST(bit AS BIGINT) AS bit, CAST(sum(CASE WHEN h.restriction_bits & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS withheld FROM ({_HEAD}) h, (VALUES (1), (2), (4), (8), (16)) t(bit) WHERE h.layer = 'body' AND h.trust >= 1 GROUP BY bit")
@@ -156,7 +156,7 @@ def corpus_counts(spark, d):
 
 @query("gaps", f"WITH h AS ({_HEAD}) SELECT kind, count(DISTINCT doc_ord) AS docs, count(DISTINCT (doc_ord, page)) AS pages, CAST(min(trust) AS INTEGER) AS worst FROM h WHERE text IS NULL OR text = '' OR trust = 0 GROUP BY kind")
 def gaps(spark, d):
-    bad = head(spark, d).where("text IS NULL OR text = '' OR trust = 0")
+    bad = head(spark, d, "text IS NULL OR text = '' OR trust = 0")
     return bad.groupBy("kind").agg(F.count_distinct("doc_ord").alias("docs"), F.count_distinct("doc_ord", "page").alias("pages"), F.min("trust").alias("worst"))
 
 
@@ -190,18 +190,18 @@ def slice_cube(spark, d):
 
 @query("repeated_digests", f"SELECT content_digest, count(*) AS n, count(DISTINCT doc_ord) AS docs FROM ({_HEAD}) WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")
 def repeated_digests(spark, d):
-    return head(spark, d).where("text IS NOT NULL").groupBy("content_digest").agg(F.count("*").alias("n"), F.count_distinct("doc_ord").alias("docs")).where("n >= 2")
+    return head(spark, d, "text IS NOT NULL").groupBy("content_digest").agg(F.count("*").alias("n"), F.count_distinct("doc_ord").alias("docs")).where("n >= 2")
 
 
 @query("top_terms", f"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM ({_HEAD}) WHERE text IS NOT NULL) WHERE length(term) > 3 GROUP BY term ORDER BY n DESC, term LIMIT 24")
 def top_terms(spark, d):
-    words = head(spark, d).where("text IS NOT NULL").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("term")).where(F.length("term") > 3)
+    words = head(spark, d, "text IS NOT NULL").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("term")).where(F.length("term") > 3)
     return words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(24)
 
 
 @query("outline_sample", f"SELECT doc_ord, page, ord, block_id, text FROM ({_HEAD}) WHERE kind IN ('title', 'heading') AND text IS NOT NULL ORDER BY doc_ord, page, ord, block_id LIMIT 40")
 def outline_sample(spark, d):
-    return head(spark, d).where("kind IN ('title', 'heading') AND text IS NOT NULL").select("doc_ord", "page", "ord", "block_id", "text").orderBy("doc_ord", "page", "ord", "block_id").limit(40)
+    return head(spark, d, "kind IN ('title', 'heading') AND text IS NOT NULL").select("doc_ord", "page", "ord", "block_id", "text").orderBy("doc_ord", "page", "ord", "block_id").limit(40)
 
 
 @query("capability_floor", f"WITH k AS (SELECT doc_ord, CAST(min(trust) AS INTEGER) AS trust, CAST(min(quote) AS INTEGER) AS quote FROM ({_HEAD}) GROUP BY doc_ord) SELECT d.format, CAST(min(k.trust) AS INTEGER) AS trust_floor, CAST(min(k.quote) AS INTEGER) AS quote_floor, count(*) AS docs FROM k JOIN doc d USING (doc_ord) GROUP BY d.format")
@@ -238,14 +238,14 @@ def size_sweep(spark, d):
 @query("cap_per_doc", f"SELECT doc_ord, block_id FROM (SELECT doc_ord, block_id, row_number() OVER (PARTITION BY doc_ord ORDER BY page, ord, block_id) AS r FROM ({_HEAD}) WHERE kind = 'paragraph') WHERE r <= 3")
 def cap_per_doc(spark, d):
     order = Window.partitionBy("doc_ord").orderBy("page", "ord", "block_id")
-    return head(spark, d).where("kind = 'paragraph'").select("doc_ord", "block_id", F.row_number().over(order).alias("r")).where("r <= 3").select("doc_ord", "block_id")
+    return head(spark, d, "kind = 'paragraph'").select("doc_ord", "block_id", F.row_number().over(order).alias("r")).where("r <= 3").select("doc_ord", "block_id")
 
 
 @query("pack_chars", f"SELECT doc_ord, block_id FROM (SELECT doc_ord, block_id, sum(length(text)) OVER (PARTITION BY doc_ord ORDER BY page, ord, block_id ROWS UNBOUNDED PRECEDING) AS c FROM ({_HEAD}) WHERE text IS NOT NULL) WHERE c <= 1200")
 def pack_chars(spark, d):
     """The prefix of each document's blocks that fits a budget of characters."""
     order = Window.partitionBy("doc_ord").orderBy("page", "ord", "block_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = head(spark, d).where("text IS NOT NULL").select("doc_ord", "page", "ord", "block_id", F.char_length("text").alias("chars"))
+    rows = head(spark, d, "text IS NOT NULL").select("doc_ord", "page", "ord", "block_id", F.char_length("text").alias("chars"))
     return rows.withColumn("c", F.sum("chars").over(order)).where("c <= 1200").select("doc_ord", "block_id")
 
 
@@ -294,7 +294,7 @@ def flake_window(spark, d):
 
 @query("nearest_rank_pages", "SELECT format, l[CAST(ceil(len(l) * 0.5) AS INTEGER)] AS p50, l[CAST(ceil(len(l) * 0.9) AS INTEGER)] AS p90 FROM (SELECT format, list_sort(list(page_count)) AS l FROM doc WHERE page_count IS NOT NULL GROUP BY format)")
 def nearest_rank_pages(spark, d):
-    return table(spark, d, "doc").where("page_count IS NOT NULL").groupBy("format").agg(stats.nearest_rank("page_count", 0.5).alias("p50"), stats.nearest_rank("page_count", 0.9).alias("p90"))
+    return stats.nearest_ranks(table(spark, d, "doc"), "format", "page_count", {"p50": 0.5, "p90": 0.9})
 
 
 @query("first_last_page_block", f"SELECT doc_ord, page, arg_min(block_id, (ord, block_id)) AS first_block, arg_max(block_id, (ord, block_id)) AS last_block FROM ({_HEAD}) GROUP BY ALL")
@@ -308,7 +308,7 @@ def first_last_page_block(spark, d):
 
 @query("undirected_pairs", f"WITH e AS (SELECT block_id AS a, parent_id AS b FROM ({_HEAD}) WHERE parent_id IS NOT NULL) SELECT a, b FROM e UNION SELECT b, a FROM e")
 def undirected_pairs(spark, d):
-    e = head(spark, d).where("parent_id IS NOT NULL").select(F.col("block_id").alias("a"), F.col("parent_id").alias("b"))
+    e = head(spark, d, "parent_id IS NOT NULL").select(F.col("block_id").alias("a"), F.col("parent_id").alias("b"))
     return e.union(e.select("b", "a")).distinct()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import retrieval
 from ..operators.filters import Filters
-from ..session import table
+from ..session import path_exists, table, table_state
 from .catalog import query
 from .reports import _HEAD, head
 
@@ -59,11 +59,28 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUESTIONS, "query_id int, text string")
 
 
+def index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) of the live blocks, written once into the shared folder for a state of the tables and kept for the application.
+
+    Postings (term, block_id, tf, length) lie in the order of terms, so that the scan of a question skips the files and row groups of other terms.
+    """
+    state = (d, *(table_state(spark, f"{d}/{t}.parquet") for t in ("block", "doc")))
+    kept = spark.sparkContext.__dict__.setdefault("_folioquery_index", {})
+    if state not in kept or not all(path_exists(spark, p) for p in kept[state]):
+        kept[state] = retrieval.build_index(head(spark, d, "text IS NOT NULL").select("block_id", "text"), "block_id", "text")
+    return tuple(spark.read.parquet(p) for p in kept[state])
+
+
 def lexical(spark: SparkSession, d: str) -> DataFrame:
-    blocks = head(spark, d).where("text IS NOT NULL").select("block_id", "text")
-    index = retrieval.postings(blocks, "block_id", "text", retrieval.query_terms(questions(spark)))
-    size = blocks.select(F.size(text.terms(F.col("text"))).alias("n")).where("n > 0").agg(F.count("*"), F.avg("n")).first()
-    return retrieval.bm25(index, "block_id", questions(spark), size[0], size[1] or 1.0)
+    postings, size = index(spark, d)
+    terms = sorted({w for _, q in QUESTIONS for w in parse_query(q).terms})
+    return retrieval.bm25(postings.where(F.col("term").isin(terms)), "block_id", questions(spark), size)
+
+
+@query("index_size", f"WITH t AS (SELECT block_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({_HEAD}) WHERE text IS NOT NULL) SELECT count(*) AS postings, CAST(sum(tf) AS BIGINT) AS words FROM (SELECT block_id, term, count(*) AS tf FROM (SELECT block_id, unnest(w) AS term FROM t) GROUP BY ALL)")
+def index_size(spark, d):
+    """The stored index, built here if it is not yet."""
+    return index(spark, d)[0].agg(F.count("*").alias("postings"), F.sum("tf").alias("words"))
 
 
 _BM25 = f"""h AS ({_HEAD}), t AS (SELECT block_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM h WHERE text IS NOT NULL),
@@ -81,7 +98,7 @@ def lexical_bm25(spark, d):
 
 def identity(spark: SparkSession, d: str) -> DataFrame:
     """Headings graded against each question."""
-    titles = head(spark, d).where("kind IN ('heading', 'title') AND text IS NOT NULL").select("block_id", "text")
+    titles = head(spark, d, "kind IN ('heading', 'title') AND text IS NOT NULL").select("block_id", "text")
     graded = titles.join(F.broadcast(questions(spark).withColumnRenamed("text", "wanted")), text.title_grade(F.col("text"), F.col("wanted")) > 0)
     return graded.select("query_id", "block_id", text.title_grade(F.col("text"), F.col("wanted")).cast("double").alias("score"))
 

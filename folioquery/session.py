@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -73,11 +74,29 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def store_path(df: DataFrame) -> str:
+    """Write df once as parquet into the shared folder; the path."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def store(df: DataFrame) -> DataFrame:
-    """Write df once as parquet into the shared checkpoint folder and read it back: a lineage cut that keeps column pruning."""
-    import uuid
+    """Write df once as parquet into the shared folder and read it back: a lineage cut that keeps column pruning."""
+    return df.sparkSession.read.schema(df.schema).parquet(store_path(df))
 
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def table_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(bytes, files, last change) of a table's files, from the file system's listing alone."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, size, number, changed = fs.listFiles(where, True), 0, 0, 0
+    while files.hasNext():
+        f = files.next()
+        size, number, changed = size + f.getLen(), number + 1, max(changed, f.getModificationTime())
+    return size, number, changed
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -332,3 +332,29 @@ def test_document_handle(spark, data):
     assert doc.subtree(rows[0].block_id).count() >= 1
     assert doc.quote(rows[0].block_id, "no such words").first().exact in (False, None)
     assert set(corpus(spark, data).load().columns) == {"page_content", "metadata"}
+
+
+def test_quads(spark):
+    from folioquery.functions.geometry import ordered_quad
+
+    corners = [(0.1, 0.2), (0.9, 0.2), (0.9, 0.8), (0.1, 0.8)]
+    rng = random.Random(4)
+    rows = [([x for p in rng.sample(corners, 4) for x in p],) for _ in range(12)] + [([1.0],), (None,)]
+    got = [r.q for r in spark.createDataFrame(rows, "p array<double>").select(ordered_quad(F.col("p")).alias("q")).collect()]
+    assert all([tuple(p) for p in q] == [(100, 200), (900, 200), (900, 800), (100, 800)] for q in got[:12]) and got[12:] == [None, None]
+
+
+def test_nearest_ranks(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice([None, *range(9)])) for k in "aab" for _ in range(101)]
+    got = {r.k: (r.p50, r.p95) for r in stats.nearest_ranks(spark.createDataFrame(rows, "k string, x int"), "k", "x", {"p50": 0.5, "p95": 0.95}).collect()}
+    for k in "ab":
+        v = sorted(x for j, x in rows if j == k and x is not None)
+        assert got[k] == (v[math.ceil(0.5 * len(v)) - 1], v[math.ceil(0.95 * len(v)) - 1])
+
+
+def test_command_line(capsys):
+    from folioquery.__main__ import main
+
+    assert main(["list"]) == 0 and "fused_search" in capsys.readouterr().out
+    assert main(["sql", "budget_tier"]) == 0 and "SELECT" in capsys.readouterr().out
