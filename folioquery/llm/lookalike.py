@@ -89,7 +89,7 @@ def by_look(text: Column) -> Column:
         many = x
         for c in SEVERAL:
             many = F.replace(many, F.lit(c), F.lit(several[c]))
-        return F.when(x.rlike("[" + "".join(SEVERAL) + "]"), many).otherwise(x)
+        return F.when(x.rlike(_SEVERAL_CLASS), many).otherwise(x)
 
     # The lambda binds the translated text, so that it is computed once though used twice.
     return F.when(text.rlike(PLAIN), text).otherwise(F.get(F.transform(F.array(out), spell_out), 0))
@@ -99,6 +99,21 @@ def by_look(text: Column) -> Column:
 SEVERAL = [c for c in look_table()[1] if 0xFB00 <= ord(c) <= 0xFB06 or 0xFEF5 <= ord(c) <= 0xFEFC or ord(c) < 0x590 or 0x2160 <= ord(c) <= 0x217F]
 
 
+def _ranges(characters: list[str]) -> str:
+    """A pattern's class of the characters as ranges: single ones are tried one after another at every character of a text."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if out and code <= out[-1][1] + 8:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+#: Texts that may hold one of them; the ranges close small gaps.
+_SEVERAL_CLASS = _ranges(SEVERAL)
+
+
 @cache
 def base_table() -> tuple[str, str]:
     """Arguments of translate() that take accents off: composed characters to their base, combining marks to nothing."""
