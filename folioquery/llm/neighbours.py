@@ -17,6 +17,7 @@ once per model (of different vectors the least); a model unknown to embed_space
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +140,11 @@ def numbered(classes: DataFrame) -> DataFrame:
     return store(classes.where("v IS NOT NULL").select("model_key", "rep", F.monotonically_increasing_id().alias("n"), "v"))
 
 
+def curve_count(rows: int, curves: int) -> int:
+    """The curves of a model: `curves` up to 100,000 rows, and six in ten more for each doubling, as a window is an ever smaller part of the rows."""
+    return max(curves, ceil(curves * (1 + 0.6 * log2(max(rows, 1) / 100_000))))
+
+
 def fit(reps: DataFrame, curves: int, halo: int) -> tuple[dict[str, Curves], int]:
     """The curves of each model and the number of ranges, from a sample of bounded size: one job for counts, one for all samples."""
     counts = {r["model_key"]: r["n"] for r in reps.groupBy("model_key").agg(F.count("*").alias("n")).collect()}  # a row a model
@@ -150,7 +156,7 @@ def fit(reps: DataFrame, curves: int, halo: int) -> tuple[dict[str, Curves], int
     out, at = {}, 0
     for model in sorted(counts):
         own = sample.filter(pc.equal(sample.column(0), model)).column(1).combine_chunks()
-        out[model] = Curves(unit_rows(own) if len(own) else np.zeros((1, 1), np.float32), counts[model], curves, at, halo)
+        out[model] = Curves(unit_rows(own) if len(own) else np.zeros((1, 1), np.float32), counts[model], curve_count(counts[model], curves), at, halo)
         at = out[model].end
     return out, max(1, at)
 
@@ -166,7 +172,7 @@ CODE_ERROR = 0.004
 _KEYED = "id bigint, scale float, code binary, model int, range int, key bigint, halo boolean"
 
 
-def keyed_rows(reps: DataFrame, fitted: dict[str, Curves], models: list[str], curves: int) -> DataFrame:
+def keyed_rows(reps: DataFrame, fitted: dict[str, Curves], models: list[str]) -> DataFrame:
     """Each numbered representative on every curve, its vector as coded bytes."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +182,7 @@ def keyed_rows(reps: DataFrame, fitted: dict[str, Curves], models: list[str], cu
                 x, m = unit_rows(own.column(2)), fitted[model]
                 code, scale = coded(x)
                 binary = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, code.size + 1, x.shape[1], dtype=np.int32)), pa.py_buffer(code)])
-                for c in range(curves):
+                for c in range(len(m.maps)):
                     keys = m.keys(x, c)
                     row, ranged, halo = m.places(keys, c)
                     take = pa.array(row)
@@ -305,7 +311,7 @@ def curve_pairs(reps: DataFrame, top: int, curves: int, window: int, least: floa
     """(model_key, a, b, cos) in both directions: for every class a, at least its best `top` classes b of its windows on all curves with
     cosine >= least, with the exact cosine; both: only if a is in b's list too. reps as numbered() gives them."""
     fitted, ranges = fit(reps, curves, window)
-    lists = merged_lists(window_lists(keyed_rows(reps, fitted, sorted(fitted), curves), ranges, top, window, least), top)
+    lists = merged_lists(window_lists(keyed_rows(reps, fitted, sorted(fitted)), ranges, top, window, least), top)
     return exact_pairs(reps, lists, both)
 
 
