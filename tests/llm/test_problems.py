@@ -439,6 +439,34 @@ def test_lattice_of_a_stream():
     assert [w for w in ocr.words_of("one, two three-four 5 six")] == ["one", "", "two", "three", "", "four", "", "six"]
 
 
+def test_joint_lattice(spark):
+    clean = ["the archive " * 60_000, "keeps maintenance contract midnight " * 100, "tbe mid night main"]
+    scanned = {
+        "the arch lve keeps": ("the archive keeps", {"misread"}),  # torn and misread
+        "th earchive keeps": ("the archive keeps", set()),  # the space stands in another place
+        "the ar chi ve keeps": ("the archive keeps", set()),  # torn twice
+        "thearchlve keeps": ("the archive keeps", {"misread"}),  # run together and misread
+        "the main te-\nnance contract": ("the maintenance contract", {"hyphen"}),  # torn and divided
+        "the c0nt ract, the contract, the c0ntract": ("the contract, the contract, the contract", {"misread"}),
+        "tbe archive keeps": ("the archive keeps", {"misread"}),  # a rare word weighed against a frequent one
+        "the mid night contract": ("the midnight contract", set()),  # torn into words
+        "the kerlum quanhal, golwyn archive": ("the kerlum quanhal, golwyn archive", set()),  # names stay
+    }
+    rows = [(100 + i, 1, 1, 0, i, "native", 0, t) for i, t in enumerate(clean)] + [(i, 2 + i, 1, 0, 1, "ocr_page", 0, t) for i, t in enumerate(scanned)]
+    block = spark.createDataFrame(rows, "block_id bigint, doc_ord bigint, gen int, page int, ord int, method string, state int, text string")
+    doc = spark.createDataFrame([(i, 1) for i in range(1, len(scanned) + 2)], "doc_ord bigint, gen int")
+    found = set(map(tuple, ocr.noise(block, doc).collect()))
+    assert found == {(i, k) for i, (_, kinds) in enumerate(scanned.values()) for k in kinds}
+    assert {r.first_block: r.text for r in ocr.paragraphs(block, doc).collect()} == {i: t for i, (t, _) in enumerate(scanned.values())}
+
+
+def test_short_words_do_not_replace_unknown_ones():
+    met = [(0, 1, "r", 9000), (1, 2, "m", 14_000), (2, 4, "el", 60_000)]
+    assert ocr.cheapest_path(["rme", "l"], [(46.0, None, False, False), (30.0, None, False, False)], met, 7_000_000) == []
+    met = [(0, 3, "the", 90_000), (3, 10, "archive", 9000)]
+    assert ocr.cheapest_path(["th", "earchive"], [(40.0, None, False, False), (80.0, None, False, False)], met, 7_000_000) == [("th earchive", "the archive", False, False)]
+
+
 def test_running_line_of_any_length(spark):
     running = "Minutes of the standing committee on the retention of records, their transfer to the archive and the yearly report about both of these"
     assert len(running) > 130
